@@ -25,6 +25,14 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    got = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return got.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import piece_codec
 
@@ -53,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
+    "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
