@@ -31,6 +31,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import warc
+
+    got = warc.archive_and_read(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import language_id
 
@@ -68,6 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
     "op3_fingerprints": op3_fingerprints,
+    "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
@@ -105,7 +113,20 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = d.doc_id
 """
 
+#: Base32 of a SHA-1: eight groups of five hexadecimal digits, four letters each.
+_OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS m FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST(('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> m THEN m END AS refers_to
+FROM h
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": _OP5_SQL,
     "op9_jaccard_join": _OP9_SQL,
     "op8_decontamination": _OP8_SQL,
 }
