@@ -25,6 +25,13 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import line_chunks
+
+    got = line_chunks.drop_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import fingerprints
 
@@ -74,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
+    "op2_line_chunks": op2_line_chunks,
     "op3_fingerprints": op3_fingerprints,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
@@ -125,7 +133,23 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM h
 """
 
+_OP2_SQL = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+h AS (SELECT doc_id, w, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h FROM l),
+e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR
+        ((CASE WHEN i > 1 THEN h[CAST(i - 1 AS BIGINT)] % 268435399 * 1000003 ELSE 0 END + h[CAST(i AS BIGINT)]) % 268435399) % 3 = 0) AS e FROM h),
+c AS (SELECT doc_id, k - 1 AS k, e[k] - coalesce(e[k - 1], 0) AS n, array_to_string(w[coalesce(e[k - 1], 0) + 1 : e[k]], chr(10)) AS t
+      FROM (SELECT doc_id, w, e, unnest(range(1, len(e) + 1)) AS k FROM e)),
+r AS (SELECT *, n >= 2 AND trim(translate(t, chr(10) || chr(9) || chr(13), '   ')) <> ''
+        AND row_number() OVER (PARTITION BY n >= 2, t ORDER BY doc_id, k) > 1 AS gone FROM c)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
+       CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
+       sha256(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_chunks": _OP2_SQL,
     "op5_warc": _OP5_SQL,
     "op9_jaccard_join": _OP9_SQL,
     "op8_decontamination": _OP8_SQL,
