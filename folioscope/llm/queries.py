@@ -38,6 +38,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import licenses
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licenses.scan(docs, licenses.train(docs))
+    return got.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), F.array_join("families", ",").alias("families"), F.round(F.coalesce(F.array_max(F.transform("notices", lambda x: x["score"])), F.lit(0.0)), 6).alias("score"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import warc
 
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
     "op2_line_chunks": op2_line_chunks,
     "op3_fingerprints": op3_fingerprints,
+    "op4_licenses": op4_licenses,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
