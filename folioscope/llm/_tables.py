@@ -57,12 +57,44 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+#: Links that one task joins up by itself (32 MB); more go through distributed rounds.
+ONE_TASK_LINKS = 2_000_000
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded number of links: roots hook onto lesser roots until none is left."""
+    parts = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    for x in range(0, len(nodes), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[x : x + 50_000]), pa.array(nodes[root[x : x + 50_000]])], ["node", "component"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the least node of each component, for all nodes with a link.
 
-    Large-star and small-star steps in turn until nothing changes; each round is written
-    to the shared folder, and only two numbers of it reach the driver.
+    Up to ``ONE_TASK_LINKS`` links are joined up in one task.  More take large-star and
+    small-star steps in turn until nothing changes; each round is written to the shared
+    folder, and only two numbers of it reach the driver.
     """
+    links = materialize(links.select("u", "v"), "links")
+    if links.count() <= ONE_TASK_LINKS:
+        return links.coalesce(1).mapInArrow(_join_up, "node long, component long")
+    return star_components(links)
+
+
+def star_components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     before = None
     while True:

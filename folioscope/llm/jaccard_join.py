@@ -10,10 +10,13 @@
    the suffix filter (bucket counts bound the symmetric difference from below).
 4. Each remaining pair is verified once on the whole sets.
 
-So that a group of n near copies does not become n^2 pairs, the first round compares
-members with two leaders of their group only; the second compares only classes that the
-first left in different components.  No pair over the threshold is lost: it is verified,
-or its ends are connected already.
+Groups of up to ``SMALL_GROUP`` classes give all their pairs at once.  So that a larger
+group of n near copies does not become n^2 pairs, its members are first compared with two
+leaders of the group only.  The next rounds compare each member with the one that a
+1024-bit parity sketch puts nearest among those of other components (its Hamming distance
+bounds the symmetric difference from below).  The last round compares all that are still
+in different components and pass every filter.  No pair over the threshold is lost: it is
+verified, or its ends are connected already.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing;
 a text of fewer words than a shingle is one shingle; ties and repeated rows belong to one
@@ -37,6 +40,10 @@ _VALUES = byte_values(9, fold_case=True)
 _WORD = np.ones(256, bool)
 _WORD[9:14] = _WORD[32] = False
 _EMPTY = np.zeros(0, np.uint64)
+_BITS = 1024
+SMALL_GROUP = 16
+#: Rounds of nearest partners before the last, complete one.
+NEAREST_ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -60,22 +67,28 @@ def _class_id(found: np.ndarray) -> np.int64:
 
 
 def _signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, n, cid) of the documents, and rows (part, data) of the count table."""
+    """Rows (doc_id, n, cid, data) of the documents, data the parity sketch, once a task; and
+    rows (part, data) of the count table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_tables.SLOTS, np.int64)
+        seen: set[int] = set()
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 n, cid = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-                slots = []
+                slots, marks = [], [None] * (b - a)
                 for i, found in enumerate(shingle_sets(batch.column(1).slice(a, b - a), k)):
                     n[i] = len(found)
                     if len(found):
                         cid[i] = _class_id(found)
                         slots.append(_tables.slot_of(found))
+                        if int(cid[i]) not in seen:
+                            seen.add(int(cid[i]))
+                            odd = np.bincount((found & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+                            marks[i] = np.packbits(odd.astype(np.uint8)).tobytes()
                 if slots:
                     np.add.at(counts, np.concatenate(slots), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(cid), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(cid), pa.nulls(b - a, pa.int32()), pa.array(marks, pa.binary())], names)
         parts, data = _tables.parts_of(counts)
         some = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(some, pa.int64()), pa.nulls(some, pa.int64()), pa.nulls(some, pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names)
@@ -126,6 +139,7 @@ class _Group:
         self.token, self.cid, self.n, self.pos, s1, s2 = columns[:6]
         self.num, self.den = num, den
         self.marks = np.stack([s1, s2], axis=1).view(np.uint8).reshape(-1, 16)
+        self.parity = columns[7] if len(columns) > 7 else None
 
     def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.n[i], self.n[j]
@@ -137,8 +151,33 @@ class _Group:
         # Bucket counts modulo 256: the way round the circle is at most the difference.
         apart = (self.marks[i[at]] - self.marks[j[at]]).view(np.int8).astype(np.int16)
         good[at] = np.abs(apart).sum(axis=1) <= (a + b - 2 * need)[at]
+        if self.parity is not None:
+            at = np.flatnonzero(good)
+            good[at] = self.apart(i[at], j[at]) <= (a + b - 2 * need)[at]
         return good
 
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of the parity sketches."""
+        return np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)
+
+    def nearest(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs, each first member's nearest partner and each second member's."""
+        if len(i) == 0:
+            return i, j
+        far = self.apart(i, j)
+        keep = np.zeros(len(i), bool)
+        for side in (i, j):
+            by = np.lexsort((far, side))
+            keep[by[np.concatenate([[True], side[by][1:] != side[by][:-1]])]] = True
+        return i[keep], j[keep]
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers, or the rows of a parity sketch column."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), _BITS // 64)
+    return column.to_numpy(zero_copy_only=False)
+
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of many rows that hold whole token groups of at least two classes."""
@@ -163,11 +202,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         token = columns[0]
         same = token[1:] == token[:-1]
         keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return [c[keep] for c in columns]
+        return [c[keep] for c in columns] if keep.any() else None
 
     for batch in batches:
         if batch.num_rows:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            held.append([_values(c) for c in batch.columns])
             size += batch.num_rows
         if size > 400_000 and (got := ready(False)) is not None:
             yield got
@@ -185,6 +224,21 @@ def _pair_batch(group: _Group, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def _all_pairs(columns: list[np.ndarray], num: int, den: int) -> tuple[_Group, list[tuple[np.ndarray, np.ndarray]]]:
+    """All pairs of each group that pass the filters; groups are small."""
+    by = np.lexsort((columns[2], columns[0]))
+    group = _Group([c[by] for c in columns], num, den)
+    at = np.arange(len(by))
+    pairs, step = [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(by)]
+        at = at[(group.token[at] == group.token[at + step]) & (den * group.n[at] >= num * group.n[at + step])]  # sizes rise: no later one fits either
+        good = at[group.may_link(at, at + step)]
+        pairs.append((good, good + step))
+    return group, pairs
+
+
 def _leader_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of members with the least and greatest class of their group."""
 
@@ -203,14 +257,12 @@ def _leader_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
                 pairs.append((i[good], j[good]))
             yield _pair_batch(group, pairs)
 
-    # A share of the shingles is enough here: what this round misses, the next one compares.
-    some = index.where("pmod(token, 8) = 0 or pos + 1 >= least_prefix")
-    rows = some.select("token", "cid", "n", "pos", "s1", "s2").repartition("token").sortWithinPartitions("token", "cid")
+    rows = index.select("token", "cid", "n", "pos", "s1", "s2").repartition("token").sortWithinPartitions("token", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs whose ends are in different components."""
+def _cross_pairs(index: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Candidate pairs whose ends are in different components; on request nearest partners only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches):
@@ -220,20 +272,20 @@ def _cross_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], group.token[1:] != group.token[:-1]]))
             ends = np.append(starts[1:], len(group.token))
             of = np.repeat(np.arange(len(starts)), ends - starts)
-            mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts) if len(starts) else np.zeros(0, bool)
+            mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
             large = mixed & (ends - starts > 256)
             pairs = []
-            i = np.flatnonzero((mixed & ~large)[of]) if len(starts) else np.zeros(0, np.int64)
+            i = np.flatnonzero((mixed & ~large)[of])
             step = 0
             while len(i):
                 step += 1
                 i = i[i + step < ends[of[i]]]
                 i = i[den * group.n[i] >= num * group.n[i + step]]  # sizes rise: no later one fits either
-                j = i + step
-                different = component[i] != component[j]
-                good = np.flatnonzero(different)
-                good = good[group.may_link(i[good], j[good])]
-                pairs.append((i[good], j[good]))
+                good = i[component[i] != component[i + step]]
+                good = good[group.may_link(good, good + step)]
+                pairs.append((good, good + step))
+            if nearest and pairs:
+                pairs = [group.nearest(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))]
             for g in np.flatnonzero(large):
                 a, b = int(starts[g]), int(ends[g])
                 names, counts = np.unique(component[a:b], return_counts=True)
@@ -241,13 +293,24 @@ def _cross_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
                     others = a + np.flatnonzero(component[a:b] != component[x])
                     mine = np.full(len(others), x)
                     good = group.may_link(mine, others)
-                    pairs.append((mine[good], others[good]))
+                    mine, others = mine[good], others[good]
+                    if nearest and len(mine):
+                        one = group.apart(mine, others).argmin()
+                        mine, others = mine[one : one + 1], others[one : one + 1]
+                    pairs.append((mine, others))
             yield _pair_batch(group, pairs)
 
-    rows = index.select("token", "cid", "n", "pos", "s1", "s2", "component").repartition("token").sortWithinPartitions("token", "cid")
+    rows = index.select("token", "cid", "n", "pos", "s1", "s2", "component", "parity").repartition("token").sortWithinPartitions("token", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _apart(index: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """Index rows of shingles whose classes are in different components, with component and sketch."""
+    left = index.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    return left.join(mixed, "token", "left_semi").join(marks, "cid")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
     """Links (u, v) among the pairs, decided on the whole sets."""
 
@@ -299,30 +362,50 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     counts = _tables.sum_parts(first.where("part is not null"))
     index = _prefixes(docs.where(F.col(doc_id).isNotNull()), k, num, den, counts, text)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "token", "cid", "n", "pos", "s1", "s2"]
         for columns in _whole_groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cid", "n", "pos", "s1", "s2"])
-
-    # Only shingles in the prefixes of two classes or more are of use.
-    index = materialize(index.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(shared, "token long, cid long, n long, pos int, s1 long, s2 long"), "index")
-    # Short sets have few prefix shingles; all of those go to the first round.
-    index = index.withColumn("least_prefix", F.when(F.col("n") * (den - num) <= 8 * den, 0).otherwise(1 << 30))
-    leaders = materialize(_leader_pairs(index, num, den), "pairs")
+            starts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+            sizes = np.diff(np.append(starts, len(columns[0])))
+            large = np.repeat(sizes > SMALL_GROUP, sizes)
+            small = [c[~large] for c in columns]
+            pairs = _pair_batch(*_all_pairs(small, num, den))
+            none, some = pa.nulls(pairs.num_rows, pa.int64()), int(large.sum())
+            yield pa.RecordBatch.from_arrays([*pairs.columns, none, none, none, none.cast(pa.int32()), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(some, pa.int64()), pa.nulls(some, pa.int64()), *(pa.array(c[large]) for c in columns)], names)
+
+    met = index.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(meet, "a long, b long, token long, cid long, n long, pos int, s1 long, s2 long")
+    met = materialize(met, "index")
+    done = materialize(met.where("a is not null").select("a", "b").distinct(), "pairs")
     same_id = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v"), F.collect_set("cid").alias("all")).where("u <> v").select("u", F.explode("all").alias("v")).where("u <> v")
-    links = materialize(_verify(leaders, docs, k, num, den, text).unionByName(same_id), "links")
-    groups = materialize(connected(links), "groups")
-    left = index.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    cross = materialize(_cross_pairs(left, num, den).join(leaders, ["a", "b"], "left_anti"), "pairs")
-    if not cross.isEmpty():
-        more = _verify(cross, docs, k, num, den, text)
-        groups = materialize(connected(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "groups")
+    groups = materialize(connected(_verify(done, docs, k, num, den, text).unionByName(same_id)), "groups")
+    index = met.where("token is not null").select("token", "cid", "n", "pos", "s1", "s2")
+    more = None if index.isEmpty() else materialize(_leader_pairs(index, num, den).join(done, ["a", "b"], "left_anti"), "pairs")
+    if more is not None and not more.isEmpty():
+        groups = _joined(groups, _verify(more, docs, k, num, den, text))
+        done = done.unionByName(more)
+    marks = materialize(first.where("data is not null and part is null").groupBy("cid").agg(F.first("data").alias("parity")), "sketches")
+    turn = 0 if more is not None else NEAREST_ROUNDS + 1
+    while turn <= NEAREST_ROUNDS:
+        pairs = materialize(_cross_pairs(_apart(index, groups, marks), num, den, turn < NEAREST_ROUNDS).join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            turn = max(turn + 1, NEAREST_ROUNDS)  # to the complete round, or out
+            continue
+        groups = _joined(groups, _verify(pairs, docs, k, num, den, text))
+        done = done.unionByName(pairs)
+        turn += 1
     labelled = rows.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = labelled.join(least, "component", "left")
+    # Written first: a join of two plain shuffles can split a component with many rows.
+    out = labelled.join(materialize(least, "least"), "component", "left")
     chosen = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), chosen.alias("component_id"))
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    return materialize(connected(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)), "groups")
+
+
 def connected(links: DataFrame) -> DataFrame:
     return _tables.connected_components(links)
 
