@@ -17,6 +17,8 @@ come first; an input column named like an output column is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,22 @@ PRIME = 268_435_399
 BASE = 1_000_003
 
 
-def _ends(lines: Column, window: int, divisor: int) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A name of a projection may be replaced by its expression, which a lambda then computes
+    for every element; the variable of a lambda never is.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ends(hashes: Column, window: int, divisor: int) -> Column:
     """1-based numbers of the lines that end a chunk."""
     def rolled(i: Column) -> Column:
         first = F.greatest(F.lit(1), i - (window - 1))
-        return F.aggregate(F.slice(lines, first, i - first + 1), F.lit(0).cast("long"), lambda a, h: (a * BASE + h) % PRIME)
+        return F.aggregate(F.slice(hashes, first, i - first + 1), F.lit(0).cast("long"), lambda a, h: (a * BASE + h) % PRIME)
 
-    return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (rolled(i) % divisor == 0) | (i == F.size(lines)))
+    return F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: (rolled(i) % divisor == 0) | (i == F.size(hashes)))
 
 
 def line_hash(line: Column) -> Column:
@@ -41,15 +52,21 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def chunks_of(text: Column, window: int, divisor: int) -> Column:
+    """Array of (n lines, text)."""
+    def chunk(lines: Column, ends: Column, e: Column, k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))))
+        return _let(start, lambda s: F.struct((e - s).alias("n"), F.array_join(F.slice(lines, s + 1, e - s), "\n").alias("text")))
+
+    return _let(
+        F.split(F.coalesce(text, F.lit("")), "\n", -1),
+        lambda lines: _let(_let(F.transform(lines, line_hash), lambda h: _ends(h, window, divisor)), lambda ends: F.transform(ends, lambda e, k: chunk(lines, ends, e, k))),
+    )
+
+
 def chunk_texts(docs: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
-    """Adds ``__chunks``: array of (n lines, text)."""
-    out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    out = out.withColumn("__hashes", F.transform("__lines", line_hash))
-    out = out.withColumn("__ends", _ends(F.col("__hashes"), window, divisor))
-    spans = F.transform("__ends", lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1)))).alias("s"), e.alias("e")))
-    out = out.withColumn("__spans", spans)
-    chunks = F.transform("__spans", lambda s: F.struct((s["e"] - s["s"]).alias("n"), F.array_join(F.slice(F.col("__lines"), s["s"] + 1, s["e"] - s["s"]), "\n").alias("text")))
-    return out.withColumn("__chunks", chunks).drop("__lines", "__hashes", "__ends", "__spans")
+    """Adds ``__chunks``."""
+    return docs.withColumn("__chunks", chunks_of(F.col(text), window, divisor))
 
 
 def _place() -> Column:
@@ -69,15 +86,18 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, min
     wanted = hashed.join(again, "h").groupBy("__row").agg(F.collect_set("__k").alias("__wanted"))
     # Bytes: only of chunks whose hash repeats.
     texts = chunked.select("__row", "__id", "__chunks").join(wanted, "__row")
-    texts = texts.select("__row", "__id", F.explode(F.transform("__wanted", lambda k: F.struct(k.alias("k"), F.element_at("__chunks", k + 1).getField("text").alias("text")))).alias("w")).select("__row", "__id", F.col("w.k").alias("__k"), F.col("w.text").alias("c"))
+    texts = texts.select("__row", "__id", F.explode(_let(F.col("__chunks"), lambda c: F.transform("__wanted", lambda k: F.struct(k.alias("k"), F.element_at(c, k + 1).getField("text").alias("text"))))).alias("w")).select("__row", "__id", F.col("w.k").alias("__k"), F.col("w.text").alias("c"))
     texts = materialize(texts, "repeats")
     first = texts.groupBy("c").agg(F.min(_place()).alias("first"))
     gone = texts.join(first, "c").where(_place() != F.col("first")).groupBy("__row").agg(F.collect_set("__k").alias("__gone"))
-    out = chunk_texts(base.join(gone, "__row", "left"), text, window, divisor)
+    out = base.join(gone, "__row", "left")
+
+    def results(chunks: Column, lost: Column) -> Column:
+        stay = F.filter(chunks, lambda c, k: ~F.array_contains(lost, k))
+        count = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+        return _let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda c: c["text"]), "\n").alias("text"), count(chunks).alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"), F.size(lost).cast("long").alias("removed_chunks"), (count(chunks) - count(s)).alias("removed_lines")))
+
     lost = F.coalesce("__gone", F.array().cast("array<int>"))
-    out = out.withColumn("__lost", lost)
-    stay = F.filter("__chunks", lambda c, k: ~F.array_contains("__lost", k))
-    went = F.filter("__chunks", lambda c, k: F.array_contains("__lost", k))
-    lines = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    new_text = F.when(F.col(text).isNotNull(), F.array_join(F.transform(stay, lambda c: c["text"]), "\n"))
-    return out.select(*(new_text.alias(c) if c == text else F.col(c) for c in kept), lines(F.col("__chunks")).alias("n_lines"), F.size("__chunks").cast("long").alias("n_chunks"), F.size("__lost").cast("long").alias("removed_chunks"), lines(went).alias("removed_lines"))
+    made = _let(chunks_of(F.col(text), window, divisor), lambda c: _let(lost, lambda x: results(c, x)))
+    out = out.select(*kept, F.explode(F.array(made)).alias("__made"))  # computed once, whatever reads its fields
+    return out.select(*(F.when(F.col(text).isNotNull(), F.col("__made.text")).alias(c) if c == text else F.col(c) for c in kept), *(F.col(f"__made.{c}").alias(c) for c in added))
