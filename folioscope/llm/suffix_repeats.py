@@ -269,7 +269,8 @@ def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
     """(t, spans) of the text classes with covered bytes; ``docs`` has t, the text's hash, and text."""
     found = materialize(_all_regions(docs, min_len), "regions").withColumn("o", F.xxhash64("t", "start"))
     anchors = found.groupBy("h").agg(F.min("o").alias("o1"), F.max("o").alias("o2"), (F.min("c") != F.max("c")).alias("mixed")).where("o1 <> o2").select("h", "mixed")
-    found = materialize(found.join(anchors, "h"), "repeated")
+    # Written first: a join of two plain shuffles can split an anchor that many regions share.
+    found = materialize(found.join(materialize(anchors, "anchors"), "h"), "repeated")
     mixed = found.where("mixed")
     wanted = mixed.groupBy("h", "c").agg(F.min(F.struct("t", "start", "size")).alias("one"), (F.min("o") != F.max("o")).alias("many")).select("h", "c", "many", "one.*")
     covered = _covered(_cut(docs, wanted), min_len)
@@ -282,7 +283,7 @@ def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_len: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes), removed (maximal byte spans)."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    spans = repeated_spans(base, min_len)
+    spans = materialize(repeated_spans(base, min_len), "spans")  # written first, see ``anchors``
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     id_type = base.schema["doc_id"].dataType.simpleString()
 
