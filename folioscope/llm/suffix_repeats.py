@@ -13,6 +13,10 @@ anchor occurs again matter:
 
 The bytes to remove are the union of those occurrences.  Equal texts form one class;
 the copies' strings all repeat, and one copy stands for them in every comparison.
+An anchor with more than ``MANY_REGIONS`` distinct regions is split by the strings' offset
+to the anchor, in steps of ``STEP``, and by the hash of what all strings of a step share:
+equal strings stay together, and no task gets all regions of a hot anchor.
+
 Repeats longer than a region appear as one maximal repeat in each region they cross.
 
 Defined results: null and empty texts have no strings; texts shorter than ``min_len``
@@ -22,6 +26,7 @@ and the text are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,8 @@ from folioscope.llm._common import byte_values, chunks, materialize, prefix_hash
 GRAM = 32
 #: Region bytes of one suffix array; a task builds one after another.
 ARRAY_BYTES = 1 << 20
+MANY_REGIONS = 2000
+STEP = 16
 _VALUES = byte_values(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -45,7 +52,7 @@ def regions(data: np.ndarray, offsets: np.ndarray, min_len: int) -> dict[str, np
     n = len(data) - GRAM + 1
     sizes = np.diff(offsets)
     first = offsets[:-1][sizes >= min_len]
-    empty = {k: np.zeros(0, np.int64) for k in ("h", "c", "text", "start", "size", "cover")}
+    empty = {k: np.zeros(0, np.int64) for k in ("h", "c", "text", "start", "size", "cover", "at")}
     if len(first) == 0:
         return empty
     prefix = prefix_hashes(data, _VALUES)
@@ -77,7 +84,7 @@ def regions(data: np.ndarray, offsets: np.ndarray, min_len: int) -> dict[str, np
     run_end = np.flatnonzero(last)[np.cumsum(np.append(0, last[:-1]))]
     cover = stop[run_end] - start
     keep = ~like | last
-    return {k: v[keep] for k, v in {"h": h, "c": c, "text": text, "start": start - offsets[text], "size": stop - start, "cover": cover}.items()}
+    return {k: v[keep] for k, v in {"h": h, "c": c, "text": text, "start": start - offsets[text], "size": stop - start, "cover": cover, "at": anchor[heads] - start}.items()}
 
 
 class SuffixArray:
@@ -178,7 +185,19 @@ def _cover(texts: list[bytes], many: np.ndarray, min_len: int) -> tuple[np.ndarr
     return low, high
 
 
-_REGION = "h long, c long, t long, start long, size long, cover long"
+_REGION = "h long, c long, t long, start long, size long, cover long, at long"
+
+
+def pieces(raw: bytes, at: int, min_len: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, offset, bytes) of a region's strings, ``STEP`` offsets to the anchor at a time."""
+    last = len(raw) - min_len  # where the last string starts
+    for step in range(at // STEP + 1):
+        low, high = max(0, at - STEP * step - STEP + 1), min(last, at - STEP * step)
+        if low <= high:
+            # Shared by all strings of this step, whether or not this region has them all.
+            core = raw[at - STEP * step : at - STEP * step - STEP + 1 + min_len]
+            digest = hashlib.blake2b(core, digest_size=8, salt=step.to_bytes(8, "little")).digest()
+            yield int.from_bytes(digest, "little", signed=True), low, raw[low : high + min_len]
 
 
 def _all_regions(docs: DataFrame, min_len: int) -> DataFrame:
@@ -190,13 +209,16 @@ def _all_regions(docs: DataFrame, min_len: int) -> DataFrame:
                 fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
                 data, offsets = text_bytes(batch.column(1).slice(a, b - a).filter(pa.array(fresh)))
                 found = regions(data, offsets, min_len)
-                yield pa.RecordBatch.from_arrays([found["h"], found["c"], keys[fresh][found["text"]], found["start"], found["size"], found["cover"]], ["h", "c", "t", "start", "size", "cover"])
+                yield pa.RecordBatch.from_arrays([found["h"], found["c"], keys[fresh][found["text"]], found["start"], found["size"], found["cover"], found["at"]], ["h", "c", "t", "start", "size", "cover", "at"])
 
     return docs.select("t", "text").mapInArrow(run, _REGION)
 
 
-def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, c, many, bytes) of the wanted regions; a text class is read once a task."""
+def _cut(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
+    """(key, h, c, off, many, data): the wanted regions by anchor, or their pieces.
+
+    A text class is read once a task.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_tables.SLOTS, np.int64)
@@ -219,50 +241,51 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            h, c, many, data = [], [], [], []
+            rows: list[tuple] = []
             for t, text, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if t == last:
                     continue  # the same class from another task
                 last, raw = t, text.as_py().encode()
-                for item in items.as_py():
-                    h.append(item["h"])
-                    c.append(item["c"])
-                    many.append(item["many"])
-                    data.append(raw[item["start"] : item["start"] + item["size"]])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(many, pa.bool_()), pa.array(data, pa.binary())], ["h", "c", "many", "data"])
-
-    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "c", "many", "start", "size")).alias("items"))
+                for x in items.as_py():
+                    region = raw[x["start"] : x["start"] + x["size"]]
+                    parts = pieces(region, x["at"], min_len) if x["split"] else ((x["h"], 0, region),)
+                    rows += [(key, x["h"], x["c"], off, x["many"], part) for key, off, part in parts]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["key", "h", "c", "off", "many", "data"])
+
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "c", "many", "split", "start", "size", "at")).alias("items"))
     found = docs.select("t", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(texts, "t long, text string")
-    return found.join(lists, "t").sortWithinPartitions("t").mapInArrow(cut, "h long, c long, many boolean, data binary")
+    return found.join(lists, "t").sortWithinPartitions("t").mapInArrow(cut, "key long, h long, c long, off long, many boolean, data binary")
 
 
 def _covered(cuts: DataFrame, min_len: int) -> DataFrame:
     """(h, c, low, high) of the distinct regions, suffix array by suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, many, data, size = [], [], [], [], 0
+        held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            low, high = _cover(data, np.array(many, bool), min_len)
+            _, h, c, off, many, data = zip(*held, strict=True)
+            low, high = _cover(list(data), np.array(many, bool), min_len)
             some = high > low
-            return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[some]), pa.array(np.array(c, np.int64)[some]), pa.array(low[some]), pa.array(high[some])], ["h", "c", "low", "high"])
+            shift = np.array(off, np.int64)[some]
+            return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[some]), pa.array(np.array(c, np.int64)[some]), pa.array(low[some] + shift), pa.array(high[some] + shift)], ["h", "c", "low", "high"])
 
         for batch in batches:
-            for x, y, m, d in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if h and x == h[-1] and y == c[-1]:
-                    continue
-                if size >= ARRAY_BYTES and x != h[-1]:
+            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if held and row[:4] == held[-1][:4]:
+                    continue  # a region that two tasks cut
+                if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield flush()
-                    h, c, many, data, size = [], [], [], [], 0
-                h.append(x)
-                c.append(y)
-                many.append(m)
-                data.append(d)
-                size += len(d)
-        if h:
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        if held:
             yield flush()
 
-    return cuts.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, low long, high long")
+    found = cuts.repartition("key").sortWithinPartitions("key", "h", "c", "off").mapInArrow(run, "h long, c long, low long, high long")
+    return found.groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
@@ -272,8 +295,11 @@ def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
     # Written first: a join of two plain shuffles can split an anchor that many regions share.
     found = materialize(found.join(materialize(anchors, "anchors"), "h"), "repeated")
     mixed = found.where("mixed")
-    wanted = mixed.groupBy("h", "c").agg(F.min(F.struct("t", "start", "size")).alias("one"), (F.min("o") != F.max("o")).alias("many")).select("h", "c", "many", "one.*")
-    covered = _covered(_cut(docs, wanted), min_len)
+    wanted = mixed.groupBy("h", "c").agg(F.min(F.struct("t", "start", "size", "at")).alias("one"), (F.min("o") != F.max("o")).alias("many")).select("h", "c", "many", "one.*")
+    wanted = materialize(wanted, "wanted")
+    large = wanted.groupBy("h").count().where(F.col("count") > MANY_REGIONS).select("h", F.lit(True).alias("split"))
+    wanted = wanted.join(large, "h", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    covered = _covered(_cut(docs, wanted, min_len), min_len)
     within = mixed.join(covered, ["h", "c"]).select("t", (F.col("start") + F.col("low")).alias("s"), F.greatest(F.col("start") + F.col("high"), F.when((F.col("low") == 0) & (F.col("high") == F.col("size")), F.col("start") + F.col("cover")).otherwise(0)).alias("e"))
     whole = found.where("not mixed").select("t", F.col("start").alias("s"), (F.col("start") + F.col("cover")).alias("e"))
     copies = docs.groupBy("t").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).cast("long").alias("e")).where(F.expr(f"n > 1 and e >= {int(min_len)}")).select("t", F.lit(0).cast("long").alias("s"), "e")

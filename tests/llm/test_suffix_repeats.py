@@ -27,7 +27,9 @@ def check(df, size=60):
     assert made == want
 
 
-def test_against_brute_force(docs):
+@pytest.mark.parametrize("many", [2000, 0])
+def test_against_brute_force(docs, many, monkeypatch):
+    monkeypatch.setattr(S, "MANY_REGIONS", many)  # 0: all anchors are split
     check(docs)
 
 
