@@ -23,33 +23,49 @@ from folioscope.constants import ILLEGIBLE
 MOST_CELLS = 1 << 27
 
 
-def _columns(ref: str, out: str, keep: bool) -> tuple[list[int], list[tuple[int, int]]]:
-    """Distances of the whole reference to each prefix of the output, and each column's vectors."""
-    m = len(ref)
-    full = (1 << m) - 1
+def _where(ref: str) -> dict[str, int]:
+    """For each character, the bits of its places."""
     where: dict[str, int] = {}
     for i, c in enumerate(ref):
         where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def _scores(ref: str, out: str) -> list[int]:
+    """Distances of the whole reference to each prefix of the output."""
+    full, top, get = (1 << len(ref)) - 1, len(ref) - 1, _where(ref).get
     up, down = full, 0  # rows whose value is one more, one less than the row above
-    score, scores, kept = m, [m], [(full, 0)]
-    top = m - 1
+    score, scores = len(ref), [len(ref)]
     for c in out:
-        same = where.get(c, 0)
+        same = get(c, 0)
         zero = (((same & up) + up) ^ up | same | down) & full
-        right, left = down | full & ~(zero | up), zero & up
+        right, left = down | (full ^ (zero | up)), zero & up
         score += (right >> top & 1) - (left >> top & 1)
-        right, left = (right << 1 | 1) & full, left << 1 & full
-        up, down = left | full & ~(zero | right), right & zero
+        right = (right << 1 | 1) & full
+        up, down = left << 1 & full | (full ^ (zero | right)), right & zero
         scores.append(score)
-        if keep:
-            kept.append((up, down))
-    return scores, kept
+    return scores
+
+
+def _vectors(ref: str, out: str) -> tuple[list[int], list[int]]:
+    """Each column's vectors ``up`` and ``down``, the empty output's first."""
+    full, get = (1 << len(ref)) - 1, _where(ref).get
+    up, down = full, 0
+    ups, downs = [full], [0]
+    for c in out:
+        same = get(c, 0)
+        zero = (((same & up) + up) ^ up | same | down) & full
+        right = ((down | (full ^ (zero | up))) << 1 | 1) & full
+        up, down = (zero & up) << 1 & full | (full ^ (zero | right)), right & zero
+        ups.append(up)
+        downs.append(down)
+    return ups, downs
 
 
 def distance(ref: str, out: str) -> int:
     if not ref or not out:
         return max(len(ref), len(out))
-    return _columns(ref, out, False)[0][-1]
+    return _scores(ref, out)[-1]
 
 
 def operations(ref: str, out: str) -> tuple[bytes, int]:
@@ -70,20 +86,20 @@ def _align(ref: str, out: str) -> tuple[bytes, int]:
         return b"d" * len(ref), len(out)
     if len(ref) * len(out) > MOST_CELLS and len(ref) > 1:
         half = len(ref) // 2
-        first = np.array(_columns(ref[:half], out, False)[0])
-        second = np.array(_columns(ref[half:][::-1], out[::-1], False)[0])[::-1]
+        first = np.array(_scores(ref[:half], out))
+        second = np.array(_scores(ref[half:][::-1], out[::-1]))[::-1]
         cut = int(np.argmin(first + second))
         a, b = operations(ref[:half], out[:cut]), operations(ref[half:], out[cut:])
         return a[0] + b[0], a[1] + b[1]
-    _, kept = _columns(ref, out, True)
+    ups, downs = _vectors(ref, out)
     steps = bytearray(len(ref))
     i, j, inserted = len(ref), len(out), 0
     while i and j:
         bit = 1 << (i - 1)
-        if kept[j][0] & bit:
+        if ups[j] & bit:
             i -= 1
             steps[i] = 100
-        elif kept[j - 1][1] & bit:
+        elif downs[j - 1] & bit:
             j -= 1
             inserted += 1
         else:

@@ -125,8 +125,8 @@ def _draw_table(spark, sizes: list[int], replicates: int, seed: int) -> DataFram
 
 def missing_pages(rows: DataFrame, truth: DataFrame) -> DataFrame:
     """(model, missing, first three ids): expected pages that a model has no row for."""
-    models = rows.select("model").distinct()
-    expected = models.crossJoin(truth.select(F.col("page_key").alias("page_id")))  # each expected row once: the report's own size
+    models = sorted(r[0] for r in rows.select("model").distinct().collect())  # a few names
+    expected = truth.select(F.explode(F.array(*map(F.lit, models)) if models else F.array().cast("array<string>")).alias("model"), F.col("page_key").alias("page_id"))
     gone = expected.join(rows.select("model", "page_id"), ["model", "page_id"], "left_anti")
     return gone.groupBy("model").agg(F.count("*").alias("missing"), F.slice(F.array_sort(F.collect_list("page_id")), 1, 3).alias("examples"))
 
@@ -171,8 +171,8 @@ def stratum_cards(rows: DataFrame, expected: list[str] | None = None) -> DataFra
     clean = _clean()
     found = rows.groupBy("model", "sample_stratum").agg(F.count("*").alias("submitted"), F.sum(clean.cast("long")).alias("n"), F.sum((~clean).cast("long")).alias("errors"), *count_pool("cer_body_read", clean), *(F.coalesce(F.sum(F.when(clean, F.col(c))), F.lit(0)).cast("long").alias(c) for p in C.SUPPORT_PAIRS[:2] for c in p))
     if expected:
-        strata = rows.sparkSession.createDataFrame([(s,) for s in expected], "sample_stratum string")
-        found = rows.select("model").distinct().join(F.broadcast(strata)).unionByName(found.select("model", "sample_stratum")).distinct().join(found, ["model", "sample_stratum"], "left")
+        strata = rows.select("model").distinct().select("model", F.explode(F.array(*map(F.lit, expected))).alias("sample_stratum"))
+        found = strata.unionByName(found.select("model", "sample_stratum")).distinct().join(found, ["model", "sample_stratum"], "left")
     zero = [c for c in found.columns if c not in ("model", "sample_stratum")]
     found = found.fillna(0, zero)
     return found.select("model", "sample_stratum", "submitted", "n", "errors", pooled_rate("cer_body_read").alias("cer_reading_micro"), columns.rate(*(F.col(c) for c in C.SUPPORT_PAIRS[0])).alias("recall_micro"), *C.SUPPORT_PAIRS[0], F.coalesce(columns.rate(*(F.col(c) for c in C.SUPPORT_PAIRS[1])), F.lit(0.0)).alias("over_extraction_micro"), *C.SUPPORT_PAIRS[1])
