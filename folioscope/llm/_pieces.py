@@ -34,8 +34,10 @@ class PieceStore:
         if len(self.slot) > self.keep:
             self.clear()
         slot = self.slot
-        new = list(dict.fromkeys(p for p in pieces if p not in slot))
-        if new:
+        found = np.fromiter((slot.get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = list(dict.fromkeys([pieces[i] for i in missing.tolist()]))
             ids, counts = self.encode(new)
             k = len(slot)
             if k + len(new) + 1 > len(self.ends):
@@ -46,7 +48,8 @@ class PieceStore:
             self.ends[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(counts)
             self.used += len(ids)
             slot.update(zip(new, range(k, k + len(new)), strict=True))
-        return np.fromiter(map(slot.__getitem__, pieces), np.int64, len(pieces))
+            found[missing] = [slot[pieces[i]] for i in missing.tolist()]
+        return found
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of the slots, and how many each has."""

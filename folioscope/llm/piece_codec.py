@@ -16,6 +16,7 @@ near linear in the length of a text without spaces.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from collections.abc import Iterator
@@ -355,6 +356,12 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: words it has met serve the process's later tasks."""
+    return Encoder(path)
+
+
 def _schema(df: DataFrame, keep: list[str], extra: list[T.StructField]) -> T.StructType:
     return T.StructType([df.schema[c] for c in keep] + extra)
 
@@ -368,7 +375,7 @@ def round_trip(df: DataFrame, model_path: str, keep: list[str], text: str = "tex
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        encoder = encoder_of(model_path)
         names = [f.name for f in schema]
         for batch in batches:
             texts = batch.column(n_keep)
@@ -390,7 +397,7 @@ def decode(df: DataFrame, model_path: str, keep: list[str], ids: str = "ids") ->
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
+        model = encoder_of(model_path).model
         for batch in batches:
             lists = batch.column(n_keep)
             for a in range(0, len(lists), 512):

@@ -23,6 +23,7 @@ ignored; an empty table gives no file.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ from folioscope.llm._pieces import PieceStore, split_spaces
 MAGIC = b"FTS1"
 BLOCK_IDS = 1 << 21
 END_ID = 0
+#: Text bytes encoded at a time: the more, the fewer distinct pieces a byte.
+ENCODE_BYTES = 6 << 20
 #: Lengths of the four ids of each control byte, and of all of them.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -49,44 +52,59 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
 class ByteEncoder:
-    """The tokenizers library on distinct space-delimited pieces only.
+    """The tokenizers library on distinct words only.
 
     The library's pattern always cuts before a space that stands between two other
-    characters, so pieces can be encoded alone.  Texts with two spaces in a row or
-    with the string of a special token go to the library as they are.
+    characters, so space-delimited pieces can be encoded alone.  A new piece is cut by
+    the same pattern, and the library's model encodes each distinct part of it once.
+    Texts with two spaces in a row or with the string of a special token go to the
+    library as they are.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
-        for token, i in self.library.get_vocab().items():
-            self.token_bytes[i] = len(token)  # one character a byte in this vocabulary
-        self.store = PieceStore(self._encode, keep=400_000)
+        # The printable character that stands for each byte, as the library writes it.
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes: dict[int, str] = {}
+        for point in range(0x800):
+            raw = chr(point).encode()
+            self.bytes |= dict(zip(raw, written(chr(point))[0][0], strict=True))
+        for point in range(0x800, 0x110000, 0x800):
+            if not 0xD800 <= point < 0xE000:
+                self.bytes |= dict(zip(chr(point).encode(), written(chr(point))[0][0], strict=True))
+        self.parts = PieceStore(self._tokenize, keep=400_000)
+        self.store = PieceStore(self._encode, keep=500_000)
+
+    def _tokenize(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that the pattern does not cut further."""
+        tokenize, table = self.model.tokenize, self.bytes
+        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(table))] for p in parts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for f in found for i in f), np.int32, int(counts.sum())), counts
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that start with one space are encoded as one running text."""
-        running = np.fromiter((len(p) > 1 and p[0] == " " and p[1] != " " for p in pieces), bool, len(pieces))
-        joined = [p for p, r in zip(pieces, running, strict=True) if r]
-        counts = np.zeros(len(pieces), np.int64)
-        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, np.int32)
-        token_ends = np.cumsum(self.token_bytes[ids])
-        piece_ends = np.cumsum([len(p.encode()) for p in joined])
-        cuts = np.searchsorted(token_ends, piece_ends, side="right")
-        counts[running] = np.diff(cuts, prepend=0)
-        alone = np.flatnonzero(~running)
-        if len(alone) == 0:
-            return ids, counts
-        found = [e.ids for e in self.library.encode_batch([pieces[i] for i in alone], add_special_tokens=False)]
-        counts[alone] = [len(f) for f in found]
-        out = np.empty(int(counts.sum()), np.int32)
-        mine = np.repeat(running, counts)
-        out[mine] = ids
-        out[~mine] = np.array([i for f in found for i in f], np.int32)
-        return out, counts
+        flat: list[str] = []
+        ends = []
+        for piece in pieces:
+            if piece[1:].isalpha() and piece[0] == " ":
+                flat.append(piece)
+            elif piece[-1:] in ",.;:!?|)" and piece[1:-1].isalpha() and piece[0] == " ":
+                flat += (piece[:-1], piece[-1])
+            else:
+                flat += self.cut(piece)
+            ends.append(len(flat))
+        ids, sizes = self.parts.gather(self.parts.slots(flat))
+        last = np.cumsum(sizes)
+        at = np.array(ends, np.int64)
+        return ids, np.diff(np.where(at > 0, last[np.maximum(at, 1) - 1] if len(last) else 0, 0), prepend=0)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -100,7 +118,7 @@ class ByteEncoder:
         ids, sizes = self.store.gather(self.store.slots(pieces)[codes])
         counts = np.bincount(np.repeat(np.arange(len(n_pieces)), n_pieces), weights=sizes, minlength=len(n_pieces)).astype(np.int64)
         if len(odd_rows):
-            found = self.library.encode_batch(column.take(pa.array(odd_rows)).to_pylist(), add_special_tokens=False)
+            found = self.library.encode_batch_fast(column.take(pa.array(odd_rows)).to_pylist(), add_special_tokens=False)
             starts = np.concatenate([[0], np.cumsum(counts)])
             parts, at = [], 0
             for r, e in zip(odd_rows, found, strict=True):
@@ -111,6 +129,12 @@ class ByteEncoder:
         return ids, counts
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str) -> ByteEncoder:
+    """One encoder a worker process: what it has met serves the process's later tasks."""
+    return ByteEncoder(path)
+
+
 # -- coding --------------------------------------------------------------------
 
 
@@ -181,7 +205,7 @@ def write(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        encoder, path = ByteEncoder(tokenizer_path), f"{folder}/ids-{number:06d}.fts"
+        encoder, path = encoder_of(tokenizer_path), f"{folder}/ids-{number:06d}.fts"
         n_docs = n_ids = 0
         held: list[tuple] = []
         first = next(batches, None)
@@ -203,7 +227,7 @@ def write(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                 keys = batch.column(0)
                 nulls = keys.is_null().to_numpy(zero_copy_only=False)
                 values = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
-                for a, b in chunks(batch.column(1)):
+                for a, b in chunks(batch.column(1), ENCODE_BYTES):
                     ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
                     counts += 1
                     full = np.full(len(ids) + len(counts), END_ID, np.int32)
