@@ -258,52 +258,91 @@ def _cut(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
     return found.join(lists, "t").sortWithinPartitions("t").mapInArrow(cut, "key long, h long, c long, off long, many boolean, data binary")
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of ``_cut`` for one suffix array after another; a key's rows stay together."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            if held and row[:4] == held[-1][:4]:
+                continue  # a region that two tasks cut
+            if size >= ARRAY_BYTES and row[0] != held[-1][0]:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += len(row[5])
+    if held:
+        yield held
+
+
+def _by_key(cuts: DataFrame) -> DataFrame:
+    return cuts.repartition("key").sortWithinPartitions("key", "h", "c", "off")
+
+
 def _covered(cuts: DataFrame, min_len: int) -> DataFrame:
     """(h, c, low, high) of the distinct regions, suffix array by suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
+        for held in _arrays(batches):
             _, h, c, off, many, data = zip(*held, strict=True)
             low, high = _cover(list(data), np.array(many, bool), min_len)
             some = high > low
             shift = np.array(off, np.int64)[some]
-            return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[some]), pa.array(np.array(c, np.int64)[some]), pa.array(low[some] + shift), pa.array(high[some] + shift)], ["h", "c", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[some]), pa.array(np.array(c, np.int64)[some]), pa.array(low[some] + shift), pa.array(high[some] + shift)], ["h", "c", "low", "high"])
 
-        for batch in batches:
-            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if held and row[:4] == held[-1][:4]:
-                    continue  # a region that two tasks cut
-                if size >= ARRAY_BYTES and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-        if held:
-            yield flush()
-
-    found = cuts.repartition("key").sortWithinPartitions("key", "h", "c", "off").mapInArrow(run, "h long, c long, low long, high long")
+    found = _by_key(cuts).mapInArrow(run, "h long, c long, low long, high long")
     return found.groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
-    """(t, spans) of the text classes with covered bytes; ``docs`` has t, the text's hash, and text."""
+def _compared(docs: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions of repeated anchors, the bytes to compare, and whole copies (t, n, e)."""
     found = materialize(_all_regions(docs, min_len), "regions").withColumn("o", F.xxhash64("t", "start"))
     anchors = found.groupBy("h").agg(F.min("o").alias("o1"), F.max("o").alias("o2"), (F.min("c") != F.max("c")).alias("mixed")).where("o1 <> o2").select("h", "mixed")
     # Written first: a join of two plain shuffles can split an anchor that many regions share.
     found = materialize(found.join(materialize(anchors, "anchors"), "h"), "repeated")
-    mixed = found.where("mixed")
-    wanted = mixed.groupBy("h", "c").agg(F.min(F.struct("t", "start", "size", "at")).alias("one"), (F.min("o") != F.max("o")).alias("many")).select("h", "c", "many", "one.*")
+    wanted = found.where("mixed").groupBy("h", "c").agg(F.min(F.struct("t", "start", "size", "at")).alias("one"), (F.min("o") != F.max("o")).alias("many")).select("h", "c", "many", "one.*")
     wanted = materialize(wanted, "wanted")
     large = wanted.groupBy("h").count().where(F.col("count") > MANY_REGIONS).select("h", F.lit(True).alias("split"))
     wanted = wanted.join(large, "h", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    covered = _covered(_cut(docs, wanted, min_len), min_len)
-    within = mixed.join(covered, ["h", "c"]).select("t", (F.col("start") + F.col("low")).alias("s"), F.greatest(F.col("start") + F.col("high"), F.when((F.col("low") == 0) & (F.col("high") == F.col("size")), F.col("start") + F.col("cover")).otherwise(0)).alias("e"))
+    copies = docs.groupBy("t").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).cast("long").alias("e")).where(F.expr(f"n > 1 and e >= {int(min_len)}"))
+    return found, _cut(docs, wanted, min_len), copies
+
+
+def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
+    """(t, spans) of the text classes with covered bytes; ``docs`` has t, the text's hash, and text."""
+    found, cuts, copies = _compared(docs, min_len)
+    within = found.where("mixed").join(_covered(cuts, min_len), ["h", "c"]).select("t", (F.col("start") + F.col("low")).alias("s"), F.greatest(F.col("start") + F.col("high"), F.when((F.col("low") == 0) & (F.col("high") == F.col("size")), F.col("start") + F.col("cover")).otherwise(0)).alias("e"))
     whole = found.where("not mixed").select("t", F.col("start").alias("s"), (F.col("start") + F.col("cover")).alias("e"))
-    copies = docs.groupBy("t").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).cast("long").alias("e")).where(F.expr(f"n > 1 and e >= {int(min_len)}")).select("t", F.lit(0).cast("long").alias("s"), "e")
-    return whole.unionByName(within).unionByName(copies).distinct().groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return whole.unionByName(within).unionByName(copies.select("t", F.lit(0).cast("long").alias("s"), "e")).distinct().groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def repeat_groups(docs: DataFrame, min_len: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(group_id, length, doc_id, start): the maximal repeats with all their occurrences.
+
+    A row per occurrence; equal strings have equal group ids.  Inside a run of one repeated
+    character only the ends' strings are listed.
+    """
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    found, cuts, copies = _compared(base, min_len)
+    names = ["group_id", "length", "h", "c", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _arrays(batches):
+            _, h, c, off, many, data = (list(x) for x in zip(*held, strict=True))
+            offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+            array = SuffixArray(np.frombuffer(b"".join(data), np.uint8), offsets)
+            h, c, off = (np.array(x, np.int64) for x in (h, c, off))
+            whole = [(int(offsets[i + 1] - offsets[i]), offsets[i : i + 1]) for i in range(len(data)) if many[i]]
+            for length, starts in (*array.repeats(min_len), *whole):
+                owner = array.owner[starts]
+                group = range_hashes(array.prefix, starts[:1], starts[:1] + length).view(np.int64)
+                yield pa.RecordBatch.from_arrays([np.repeat(group, len(starts)), np.full(len(starts), length), h[owner], c[owner], starts - offsets[owner] + off[owner]], names)
+
+    groups = _by_key(cuts).mapInArrow(run, "group_id long, length long, h long, c long, place long").distinct()
+    within = found.where("mixed").join(groups, ["h", "c"]).select("group_id", "length", "t", (F.col("start") + F.col("place")).alias("start"))
+    whole = found.where("not mixed").select(F.col("c").alias("group_id"), F.col("size").alias("length"), "t", "start")
+    same = copies.select(F.col("t").alias("group_id"), F.col("e").alias("length"), "t", F.lit(0).cast("long").alias("start"))
+    return within.unionByName(whole).unionByName(same).distinct().join(base.select("doc_id", "t"), "t").select("group_id", "length", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, min_len: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

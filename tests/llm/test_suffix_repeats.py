@@ -33,6 +33,20 @@ def test_against_brute_force(docs, many, monkeypatch):
     check(docs)
 
 
+def test_groups_cover_what_repeats(unique_docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in unique_docs.collect()}
+    rows = S.repeat_groups(unique_docs, 60).collect()
+    strings, marks = {}, {i: bytearray(len(t)) for i, t in texts.items()}
+    for r in rows:
+        part = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] >= 60 and strings.setdefault(r["group_id"], part) == part
+        marks[r["doc_id"]][r["start"] : r["start"] + r["length"]] = b"\1" * r["length"]
+    ids = [i for i in texts if i != 67]  # a run of one character
+    for i, kept in zip(texts, brute(list(texts.values()), 60), strict=True):
+        if i in ids:
+            assert bytes(b for b, m in zip(texts[i], marks[i], strict=True) if not m) == kept
+
+
 def test_empty_and_clashing(none, clashing):
     assert S.remove_repeats(none, 60).count() == 0
     check(clashing)
