@@ -83,13 +83,14 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, min
     hashed = chunked.select("__row", "__id", F.posexplode("__chunks").alias("__k", "c")).where(several).select("__row", "__id", "__k", F.xxhash64("c.text").alias("h"))
     hashed = materialize(hashed, "chunks")
     again = hashed.groupBy("h").agg(F.min(_place()).alias("a"), F.max(_place()).alias("b")).where("a <> b").select("h")
-    wanted = hashed.join(again, "h").groupBy("__row").agg(F.collect_set("__k").alias("__wanted"))
+    # Written first: a join of two plain shuffles can split a chunk that many documents share.
+    wanted = hashed.join(materialize(again, "again"), "h").groupBy("__row").agg(F.collect_set("__k").alias("__wanted"))
     # Bytes: only of chunks whose hash repeats.
     texts = chunked.select("__row", "__id", "__chunks").join(wanted, "__row")
     texts = texts.select("__row", "__id", F.explode(_let(F.col("__chunks"), lambda c: F.transform("__wanted", lambda k: F.struct(k.alias("k"), F.element_at(c, k + 1).getField("text").alias("text"))))).alias("w")).select("__row", "__id", F.col("w.k").alias("__k"), F.col("w.text").alias("c"))
     texts = materialize(texts, "repeats")
     first = texts.groupBy("c").agg(F.min(_place()).alias("first"))
-    gone = texts.join(first, "c").where(_place() != F.col("first")).groupBy("__row").agg(F.collect_set("__k").alias("__gone"))
+    gone = texts.join(materialize(first, "first"), "c").where(_place() != F.col("first")).groupBy("__row").agg(F.collect_set("__k").alias("__gone"))
     out = base.join(gone, "__row", "left")
 
     def results(chunks: Column, lost: Column) -> Column:
