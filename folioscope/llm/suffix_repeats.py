@@ -311,7 +311,8 @@ def _compared(docs: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame, Data
 def repeated_spans(docs: DataFrame, min_len: int) -> DataFrame:
     """(t, spans) of the text classes with covered bytes; ``docs`` has t, the text's hash, and text."""
     found, cuts, copies = _compared(docs, min_len)
-    within = found.where("mixed").join(_covered(cuts, min_len), ["h", "c"]).select("t", (F.col("start") + F.col("low")).alias("s"), F.greatest(F.col("start") + F.col("high"), F.when((F.col("low") == 0) & (F.col("high") == F.col("size")), F.col("start") + F.col("cover")).otherwise(0)).alias("e"))
+    covered = materialize(_covered(cuts, min_len), "covered")  # written first, as the anchors
+    within = found.where("mixed").join(covered, ["h", "c"]).select("t", (F.col("start") + F.col("low")).alias("s"), F.greatest(F.col("start") + F.col("high"), F.when((F.col("low") == 0) & (F.col("high") == F.col("size")), F.col("start") + F.col("cover")).otherwise(0)).alias("e"))
     whole = found.where("not mixed").select("t", F.col("start").alias("s"), (F.col("start") + F.col("cover")).alias("e"))
     return whole.unionByName(within).unionByName(copies.select("t", F.lit(0).cast("long").alias("s"), "e")).distinct().groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
