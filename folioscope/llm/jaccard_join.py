@@ -8,12 +8,13 @@
    Each carries its position and 16 bucket counts of the whole set.
 3. In each shingle's group, pairs must pass the length filter, the positional filter and
    the suffix filter (bucket counts bound the symmetric difference from below).
-4. Each remaining pair is verified once on the whole sets.
+4. Each remaining pair that a sketch of 256 bucket counts does not rule out is verified
+   once on the whole sets.
 
 Groups of up to ``SMALL_GROUP`` classes give all their pairs at once.  So that a larger
 group of n near copies does not become n^2 pairs, its members are first compared with two
 leaders of the group only.  The next rounds compare each member with the one that a
-1024-bit parity sketch puts nearest among those of other components (its Hamming distance
+sketch of 256 bucket counts puts nearest among those of other components (its distance
 bounds the symmetric difference from below).  The last round compares all that are still
 in different components and pass every filter.  No pair over the threshold is lost: it is
 verified, or its ends are connected already.
@@ -40,7 +41,7 @@ _VALUES = byte_values(9, fold_case=True)
 _WORD = np.ones(256, bool)
 _WORD[9:14] = _WORD[32] = False
 _EMPTY = np.zeros(0, np.uint64)
-_BITS = 1024
+_BUCKETS = 256
 SMALL_GROUP = 16
 #: Rounds of nearest partners before the last, complete one.
 NEAREST_ROUNDS = 3
@@ -67,7 +68,7 @@ def _class_id(found: np.ndarray) -> np.int64:
 
 
 def _signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, n, cid, data) of the documents, data the parity sketch, once a task; and
+    """Rows (doc_id, n, cid, data) of the documents, data the sketch, once a task; and
     rows (part, data) of the count table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +85,7 @@ def _signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                         slots.append(_tables.slot_of(found))
                         if int(cid[i]) not in seen:
                             seen.add(int(cid[i]))
-                            odd = np.bincount((found & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-                            marks[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+                            marks[i] = (np.bincount((found & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS) & 255).astype(np.uint8).tobytes()
                 if slots:
                     np.add.at(counts, np.concatenate(slots), 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(cid), pa.nulls(b - a, pa.int32()), pa.array(marks, pa.binary())], names)
@@ -132,6 +132,11 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray, t
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, cid long, n long, pos int, s1 long, s2 long")
 
 
+def _sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts are kept modulo 256: the way round the circle is at most the difference."""
+    return np.abs((a - b).view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+
+
 class _Group:
     """Index rows sorted by token; pairs of rows that may be over the threshold."""
 
@@ -139,7 +144,7 @@ class _Group:
         self.token, self.cid, self.n, self.pos, s1, s2 = columns[:6]
         self.num, self.den = num, den
         self.marks = np.stack([s1, s2], axis=1).view(np.uint8).reshape(-1, 16)
-        self.parity = columns[7] if len(columns) > 7 else None
+        self.sketch = columns[7] if len(columns) > 7 else None
 
     def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.n[i], self.n[j]
@@ -151,14 +156,14 @@ class _Group:
         # Bucket counts modulo 256: the way round the circle is at most the difference.
         apart = (self.marks[i[at]] - self.marks[j[at]]).view(np.int8).astype(np.int16)
         good[at] = np.abs(apart).sum(axis=1) <= (a + b - 2 * need)[at]
-        if self.parity is not None:
+        if self.sketch is not None:
             at = np.flatnonzero(good)
             good[at] = self.apart(i[at], j[at]) <= (a + b - 2 * need)[at]
         return good
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Hamming distances of the parity sketches."""
-        return np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)
+        """Least symmetric differences that the sketches allow."""
+        return _sketch_distance(self.sketch[i], self.sketch[j])
 
     def nearest(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs, each first member's nearest partner and each second member's."""
@@ -173,9 +178,9 @@ class _Group:
 
 
 def _values(column: pa.Array) -> np.ndarray:
-    """Numbers, or the rows of a parity sketch column."""
+    """Numbers, or the rows of a sketch column."""
     if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), _BITS // 64)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), _BUCKETS)
     return column.to_numpy(zero_copy_only=False)
 
 
@@ -300,7 +305,7 @@ def _cross_pairs(index: DataFrame, num: int, den: int, nearest: bool) -> DataFra
                     pairs.append((mine, others))
             yield _pair_batch(group, pairs)
 
-    rows = index.select("token", "cid", "n", "pos", "s1", "s2", "component", "parity").repartition("token").sortWithinPartitions("token", "cid")
+    rows = index.select("token", "cid", "n", "pos", "s1", "s2", "component", "sketch").repartition("token").sortWithinPartitions("token", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -308,7 +313,24 @@ def _apart(index: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFrame:
     """Index rows of shingles whose classes are in different components, with component and sketch."""
     left = index.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return left.join(mixed, "token", "left_semi").join(marks, "cid")
+    return left.join(mixed, "token", "left_semi").join(marks.select("cid", "sketch"), "cid")
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            need = -(-num * total // (num + den))
+            good = pa.array(_sketch_distance(_values(batch.column(4)), _values(batch.column(5))) <= total - 2 * need)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    side = lambda x, n, s: marks.select(F.col("cid").alias(x), F.col("n").alias(n), F.col("sketch").alias(s))
+    joined = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return joined.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
@@ -378,13 +400,16 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     met = materialize(met, "index")
     done = materialize(met.where("a is not null").select("a", "b").distinct(), "pairs")
     same_id = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v"), F.collect_set("cid").alias("all")).where("u <> v").select("u", F.explode("all").alias("v")).where("u <> v")
-    groups = materialize(connected(_verify(done, docs, k, num, den, text).unionByName(same_id)), "groups")
+    marks = materialize(first.where("data is not null and part is null").groupBy("cid").agg(F.first("n").alias("n"), F.first("data").alias("sketch")), "sketches")
+    likely = materialize(_plausible(done, marks, num, den), "pairs")
+    groups = materialize(connected(_verify(likely, docs, k, num, den, text).unionByName(same_id)), "groups")
     index = met.where("token is not null").select("token", "cid", "n", "pos", "s1", "s2")
     more = None if index.isEmpty() else materialize(_leader_pairs(index, num, den).join(done, ["a", "b"], "left_anti"), "pairs")
     if more is not None and not more.isEmpty():
-        groups = _joined(groups, _verify(more, docs, k, num, den, text))
+        likely = materialize(_plausible(more, marks, num, den), "pairs")
+        if not likely.isEmpty():
+            groups = _joined(groups, _verify(likely, docs, k, num, den, text))
         done = done.unionByName(more)
-    marks = materialize(first.where("data is not null and part is null").groupBy("cid").agg(F.first("data").alias("parity")), "sketches")
     turn = 0 if more is not None else NEAREST_ROUNDS + 1
     while turn <= NEAREST_ROUNDS:
         pairs = materialize(_cross_pairs(_apart(index, groups, marks), num, den, turn < NEAREST_ROUNDS).join(done, ["a", "b"], "left_anti"), "pairs")
