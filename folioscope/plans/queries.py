@@ -250,7 +250,7 @@ def model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(mkdtemp(prefix="folioscope-"))
     rows = _scored(spark, sf_dir).checkpoint()
-    return report.board_order(report.model_cards(rows, X.truth(spark, sf_dir), replicates=200)).select("model", "n", "errors", "truncated", "missing", "eligible", "place", "cer_diplomatic_micro", "cer_reading_micro", "recall_micro", "over_extraction_micro", "cer_ci.lo", "cer_ci.hi")
+    return report.board_order(report.model_cards(rows, X.truth(spark, sf_dir))).select("model", "n", "errors", "truncated", "missing", "eligible", "place", "cer_diplomatic_micro", "cer_reading_micro", "recall_micro", "over_extraction_micro", "cer_ci.lo", "cer_ci.hi")
 
 
 @query()

@@ -120,6 +120,19 @@ def bootstrap(rows, n):
     return at(0.025), at(0.975)
 
 
+def test_model_cards_query_draws_all_replicates(spark, cards, truth, monkeypatch):
+    from folioscope.plans import queries
+
+    drawn, table = [], report._draw_table
+    monkeypatch.setattr(queries, "_scored", lambda spark, sf_dir: cards)
+    monkeypatch.setattr(queries.X, "truth", lambda spark, sf_dir: truth)
+    monkeypatch.setattr(report, "_draw_table", lambda s, sizes, replicates, seed: drawn.append(replicates) or table(s, sizes, replicates, seed))
+    rows = [r for r in cards.collect() if not r["error"]]
+    for card in queries.model_cards(spark, "").collect():
+        assert (card["lo"], card["hi"]) == bootstrap([r for r in rows if r["model"] == card["model"]], 1000)
+    assert drawn == [1000]
+
+
 def test_strata_regions_and_text(cards, truth, tmp_path):
     strata = {(r["model"], r["sample_stratum"]): r for r in report.stratum_cards(cards, ["content", "sparse_blank", "other"]).collect()}
     assert strata["good", "other"]["submitted"] == 0 and strata["good", "other"]["cer_reading_micro"] is None
