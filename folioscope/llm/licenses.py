@@ -6,7 +6,8 @@ is trained here: positives are the templates and their variants, negatives are a
 sample of the corpus' own paragraphs (``MAX_NEGATIVES``) and fragments of templates; a
 temperature is fitted on examples set apart.  A paragraph counts as a notice if a family
 is likelier than ``MIN_SCORE`` and at least ``MIN_OVERLAP`` of the pairs of one of that
-family's templates occur in it.
+family's templates occur in it; pairs with a year, a holder's name or a paragraph's edge
+are not counted, as they differ from notice to notice.
 
 Scoring uses DataFrame functions only: pairs are hashed and exploded, joined with the
 weight table (its size is the templates', so it is broadcast), and summed per paragraph.
@@ -74,9 +75,14 @@ TEMPLATES: dict[str, list[str]] = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released into the public domain under CC0 1.0 Universal."],
-    "reserved": ["Copyright (c) 2020 The Authors. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
+    "reserved": ["All rights reserved.", "Copyright (c) 2020 The Authors. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
 
+#: Words of the templates that differ from notice to notice: edges, year, holder.
+_VARIABLE = {"^", "$", "2020", "authors"}
+#: Other years and holders, for training.
+_HOLDERS = ["2019 John Smith", "1998-2024 Acme Inc", "by the University"]
+
 #: Sentences near the templates' vocabulary that are no notices.
 _CONFUSABLE = [
     "The driver renewed the license at the office of the city and paid the fee.",
@@ -101,22 +107,37 @@ def pairs_of(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in pairwise(["^", *words, "$"])} if words else set()
 
 
+def core_of(text: str) -> set[str]:
+    """The pairs of a template that every such notice has."""
+    return {p for p in pairs_of(text) if not _VARIABLE & set(p.split(" "))}
+
+
+def _covers(found: set[str], cores: list[set[str]]) -> bool:
+    return any(len(found & c) >= MIN_OVERLAP * len(c) for c in cores)
+
+
 def _fold(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _examples(negatives: list[str]) -> tuple[list[set[str]], list[str]]:
     features, labels = [], []
+    cores = [core_of(t) for ts in TEMPLATES.values() for t in ts]
     for family, texts in TEMPLATES.items():
         for text in texts:
             whole = text.split()
             variants = [text, text, text.replace("License", "Licence"), "Copyright (c) 2021 A. Author. " + text, text + " See the file for details.", " ".join(whole[: max(4, len(whole) * 4 // 5)]), " ".join(whole[len(whole) // 5 :])]
+            if "2020 The Authors" in text:
+                variants += [text.replace("2020 The Authors", h) for h in _HOLDERS]
+                variants += [v.replace("(c) ", "") for v in variants[-len(_HOLDERS) :]]
             for v in variants:
                 features.append(pairs_of(v))
                 labels.append(family)
             for a in range(0, len(whole) - 2, 3):  # a few words are not a notice
-                features.append(pairs_of(" ".join(whole[a : a + 3])))
-                labels.append(UNKNOWN)
+                part = pairs_of(" ".join(whole[a : a + 3]))
+                if not _covers(part, cores):
+                    features.append(part)
+                    labels.append(UNKNOWN)
     for text in [*_CONFUSABLE, *negatives]:
         features.append(pairs_of(text))
         labels.append(UNKNOWN)
@@ -129,6 +150,7 @@ class Model:
     def __init__(self, negatives: list[str], rounds: int = 400, rate: float = 2.0, penalty: float = 1e-4) -> None:
         self.classes = [UNKNOWN, *TEMPLATES]
         self.templates = [(f, pairs_of(t)) for f, texts in TEMPLATES.items() for t in texts]
+        self.cores = [(f, core_of(t)) for f, texts in TEMPLATES.items() for t in texts]
         self.pairs = sorted(set().union(*(p for _, p in self.templates)))
         number = {p: i for i, p in enumerate(self.pairs)}
         features, labels = _examples(negatives)
@@ -155,7 +177,7 @@ class Model:
         p = _softmax((self.bias + self.weights[hits].sum(axis=0))[None])[0]
         best = int(p.argmax())
         family = self.classes[best]
-        overlap = max((len(found & t) / len(t) for f, t in self.templates if f == family), default=0.0)
+        overlap = max((len(found & t) / len(t) for f, t in self.cores if f == family), default=0.0)
         return (family, float(p[best])) if hits and best and p[best] >= MIN_SCORE and overlap >= MIN_OVERLAP else None
 
 
@@ -170,13 +192,13 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
     n = max(1, rows.count())
     share = min(1.0, MAX_NEGATIVES / n)
     lines = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring(F.substring_index(text, "\n", 1), 1, 400).alias("line")).distinct().collect()
-    notices = [p for _, p in ((f, pairs_of(t)) for f, ts in TEMPLATES.items() for t in ts)]
+    cores = [core_of(t) for ts in TEMPLATES.values() for t in ts]
     # A sampled line that holds a template's wording is no negative example.
-    return Model(sorted(r["line"] for r in lines if not any(len(pairs_of(r["line"]) & p) >= MIN_OVERLAP * len(p) for p in notices)))
+    return Model(sorted(r["line"] for r in lines if not _covers(pairs_of(r["line"]), cores)))
 
 
 def _weight_table(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(p, w.tolist(), [1.0 if p in t else 0.0 for _, t in model.templates]) for p, w in zip(model.pairs, model.weights, strict=True)]
+    rows = [(p, w.tolist(), [1.0 if p in t else 0.0 for _, t in model.cores]) for p, w in zip(model.pairs, model.weights, strict=True)]
     table = spark.createDataFrame(rows, "pair string, w array<double>, t array<double>")
     return table.select(F.xxhash64(F.split_part("pair", F.lit(" "), F.lit(1)), F.split_part("pair", F.lit(" "), F.lit(2))).alias("g"), "w", "t")
 
@@ -190,14 +212,14 @@ def find_notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     hits = framed.select("row", "paragraph", F.explode(grams).alias("g"))
     # The table has as many rows as the templates have pairs.
     hits = hits.join(F.broadcast(_weight_table(docs.sparkSession, model)), "g").dropDuplicates(["row", "paragraph", "g"])
-    n, m = len(model.classes), len(model.templates)
+    n, m = len(model.classes), len(model.cores)
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n)] + [F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(m)]
     found = hits.groupBy("row", "paragraph").agg(*sums)
     logits = F.array(*(F.col(f"w{i}") + F.lit(float(model.bias[i])) for i in range(n)))
     found = found.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     found = found.withColumn("best", F.array_position("logits", F.col("top")).cast("int")).withColumn("score", 1.0 / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     families = F.array(*(F.lit(c) for c in model.classes))
-    overlap = F.greatest(*(F.when(F.element_at(families, F.col("best")) == f, F.col(f"t{j}") / len(p)).otherwise(0.0) for j, (f, p) in enumerate(model.templates)))
+    overlap = F.greatest(*(F.when(F.element_at(families, F.col("best")) == f, F.col(f"t{j}") / len(p)).otherwise(0.0) for j, (f, p) in enumerate(model.cores)))
     return found.select("row", "paragraph", F.element_at(families, F.col("best")).alias("family"), "score", overlap.alias("overlap")).where((F.col("family") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("overlap") >= MIN_OVERLAP))
 
 

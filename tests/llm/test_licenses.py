@@ -17,6 +17,17 @@ def test_families(model):
         assert model.classify(t) is None, t
 
 
+@pytest.mark.parametrize("line", ["All rights reserved.", "ALL RIGHTS RESERVED", "Copyright (c) 2019 John Smith. All rights reserved.", "Copyright 2019 Acme Inc. All rights reserved.", "(c) 1987-2003 Regents of the College. All rights reserved.", "Copyright 2011 by Jane Q. Public and others. All rights reserved worldwide."])
+def test_reserved_by_anyone(model, line):
+    found = model.classify(line)
+    assert found and found[0] == "reserved"
+
+
+@pytest.mark.parametrize("line", ["All rights of the people were read aloud.", "The table was reserved for the authors in 2020.", "Copyright is a branch of law.", "the rights reserved to the states"])
+def test_not_reserved(model, line):
+    assert model.classify(line) is None
+
+
 def test_against_one_by_one(spark, model, docs):
     texts = [f"first line\n{t}\nlast line" for ts in L.TEMPLATES.values() for t in ts] + [None, "", "no notice here", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select((docs["doc_id"] + 1000).alias("doc_id"), "text"))
