@@ -1,6 +1,6 @@
 """Licence notices: a sparse word n-gram classifier, confirmed against templates.
 
-Paragraphs are lines.  Features are the distinct word pairs of a paragraph that occur in
+Paragraphs are lines, and runs of adjacent lines, as headers are wrapped.  Features are the distinct word pairs of a paragraph that occur in
 the templates.  A multinomial logistic regression over the families and an unknown class
 is trained here: positives are the templates and their variants, negatives are a bounded
 sample of the corpus' own paragraphs (``MAX_NEGATIVES``) and fragments of templates; a
@@ -13,6 +13,15 @@ Scoring uses DataFrame functions only: pairs are hashed and exploded, joined wit
 weight table (its size is the templates', so it is broadcast), and summed per paragraph.
 A paragraph without any template pair has no features and is unknown.
 
+Runs hold no line without words and no line that is a whole notice by itself (all pairs of
+a template), and at most the longest template's number of words between their first and last line.  They are scored
+only in texts that hold ``MIN_OVERLAP`` of some template's pairs outside such lines, line
+breaks included, since no other text can have one.  Of runs of one template that share
+more than an edge line, the one with most overlap counts (then the shortest, the first);
+a run, or a line with a part of a template, that shares lines with another of its family
+counts unless the other holds as much of its template, and does not count within a run of
+another family with more overlap.
+
 Defined results: null and empty texts have no notices; rows equal in id and text get
 equal results; very long texts are handled whole; other columns are kept, and an input
 column named like an output column is replaced.
@@ -27,6 +36,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm._common import materialize
+from folioscope.llm.line_chunks import _let as let
+
 MAX_NEGATIVES = 1000
 MIN_SCORE = 0.5
 MIN_OVERLAP = 0.6
@@ -203,15 +215,29 @@ def _weight_table(spark: SparkSession, model: Model) -> DataFrame:
     return table.select(F.xxhash64(F.split_part("pair", F.lit(" "), F.lit(1)), F.split_part("pair", F.lit(" "), F.lit(2))).alias("g"), "w", "t")
 
 
-def find_notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (row, paragraph, family, score, overlap) of the notices; ``row`` is a hash of id and text."""
-    lines = docs.select(F.xxhash64(doc_id, text).alias("row"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("paragraph", "line"))
-    words = lines.select("row", "paragraph", F.filter(F.split(_fold(F.col("line")), "[^a-z0-9]+", -1), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+def _words(line: Column) -> Column:
+    return F.filter(F.split(_fold(line), "[^a-z0-9]+", -1), lambda w: w != "")
+
+
+def _grams(lines: DataFrame) -> DataFrame:
+    """(row, paragraph, g) of (row, paragraph, line)."""
+    words = lines.select("row", "paragraph", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     framed = words.select("row", "paragraph", F.concat(F.array(F.lit("^")), "words", F.array(F.lit("$"))).alias("words"))
     grams = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.xxhash64(a, b))
-    hits = framed.select("row", "paragraph", F.explode(grams).alias("g"))
+    return framed.select("row", "paragraph", F.explode(grams).alias("g"))
+
+
+def _breaks(lines: DataFrame) -> DataFrame:
+    """(row, paragraph, g) of the pairs over the ends of lines (row, paragraph, line, after)."""
+    a, b = F.element_at(_words(F.col("line")), -1), F.element_at(_words(F.col("after")), 1)
+    has = lambda c: F.col(c).rlike("[A-Za-z0-9]")
+    return lines.where(has("line") & has("after")).select("row", "paragraph", F.xxhash64(a, b).alias("g"))
+
+
+def _decide(hits: DataFrame, table: DataFrame, model: Model) -> DataFrame:
+    """Rows (row, paragraph, template, family, score, overlap, overlaps: of each template) of the notices among distinct (row, paragraph, g)."""
     # The table has as many rows as the templates have pairs.
-    hits = hits.join(F.broadcast(_weight_table(docs.sparkSession, model)), "g").dropDuplicates(["row", "paragraph", "g"])
+    hits = hits.join(F.broadcast(table), "g")
     n, m = len(model.classes), len(model.cores)
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n)] + [F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(m)]
     found = hits.groupBy("row", "paragraph").agg(*sums)
@@ -219,8 +245,109 @@ def find_notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     found = found.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     found = found.withColumn("best", F.array_position("logits", F.col("top")).cast("int")).withColumn("score", 1.0 / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     families = F.array(*(F.lit(c) for c in model.classes))
-    overlap = F.greatest(*(F.when(F.element_at(families, F.col("best")) == f, F.col(f"t{j}") / len(p)).otherwise(0.0) for j, (f, p) in enumerate(model.cores)))
-    return found.select("row", "paragraph", F.element_at(families, F.col("best")).alias("family"), "score", overlap.alias("overlap")).where((F.col("family") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("overlap") >= MIN_OVERLAP))
+    overlaps = F.array(*(F.when(F.element_at(families, F.col("best")) == f, F.col(f"t{j}") / len(p)).otherwise(0.0) for j, (f, p) in enumerate(model.cores)))
+    found = found.withColumn("overlaps", overlaps).withColumn("overlap", F.array_max("overlaps"))
+    found = found.select("row", "paragraph", F.array_position("overlaps", F.col("overlap")).alias("template"), F.element_at(families, F.col("best")).alias("family"), "score", "overlap", "overlaps")
+    return found.where((F.col("family") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("overlap") >= MIN_OVERLAP))
+
+
+def _runs(lines: Column, starts: Column, size: int) -> Column:
+    """Array of (paragraph: (first, last), line): runs from ``starts`` of two lines or more, with words in each."""
+    counts = F.transform(lines, lambda x: F.size(_words(x)))
+
+    def reach(n: Column, s: Column) -> Column:
+        """How many lines may follow line ``s``: words between the run's ends are at most ``size``."""
+        ahead = F.slice(n, s + 2, size + 2)
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("k"), F.lit(True).alias("on"))
+
+        def step(a: Column, x: Column) -> Column:
+            on = a["on"] & (x > 0) & (a["words"] <= size)
+            return F.struct(F.when(on, a["words"] + x).otherwise(a["words"]).alias("words"), F.when(on, a["k"] + 1).otherwise(a["k"]).alias("k"), on.alias("on"))
+
+        return F.aggregate(ahead, start, step, lambda a: a["k"])
+
+    def of(n: Column, s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), reach(n, s)), lambda k: (k > 0) & (F.element_at(n, s + 1) > 0))
+        return F.transform(ends, lambda k: F.struct(F.struct(s.alias("first"), (s + k).alias("last")).alias("paragraph"), F.array_join(F.slice(lines, s + 1, k + 1), "\n").alias("line")))
+
+    return F.flatten(let(counts, lambda n: F.transform(starts, lambda s: of(n, s))))
+
+
+def _chosen(found: Column) -> Column:
+    """Of (first, last, overlap, ...) in order: of those that share more than an edge line the one with most overlap."""
+    def step(kept: Column, x: Column) -> Column:
+        last = F.element_at(kept, -1)
+        return (
+            F.when((F.size(kept) == 0) | (x["first"] >= last["last"]), F.concat(kept, F.array(x)))
+            .when(x["overlap"] > last["overlap"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
+            .when((x["overlap"] == last["overlap"]) & (x["last"] - x["first"] < last["last"] - last["first"]), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
+            .otherwise(kept)
+        )
+
+    return F.aggregate(found, F.slice(found, 1, 0), step)
+
+
+def _no_parts(found: Column, near: int) -> Column:
+    """Of a text's runs in order those that are not part of another; only ``near`` neighbours can share lines."""
+    def better(x: Column, k: Column, y: Column, j: Column) -> Column:
+        shares = (y["first"] <= x["last"]) & (x["first"] <= y["last"])
+        as_much = F.element_at(y["overlaps"], x["template"].cast("int")) >= x["overlap"]
+        mutual = F.element_at(x["overlaps"], y["template"].cast("int")) >= y["overlap"]
+        part = as_much & (j != k) & (~mutual | (j < k))
+        inside = (y["first"] <= x["first"]) & (x["last"] <= y["last"]) & (y["overlap"] > x["overlap"])
+        return shares & F.when(x["family"] == y["family"], part).otherwise(inside)
+
+    def others(k: Column) -> Column:
+        first = F.greatest(k - near, F.lit(0))
+        return F.transform(F.slice(found, first + 1, 2 * near + 1), lambda y, j: F.struct(y.alias("y"), (first + j).alias("j")))
+
+    return F.filter(found, lambda x, k: ~F.exists(others(k), lambda o: better(x, k, o["y"], o["j"])))
+
+
+def find_notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (row, paragraph, family, score, overlap) of the notices; ``row`` is a hash of id and text, ``paragraph`` the first line."""
+    texts = docs.select(F.xxhash64(doc_id, text).alias("row"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
+    pairs = F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", 2, F.size("lines")).alias("after"))
+    lines = texts.select("row", F.posexplode(pairs).alias("paragraph", "x")).select("row", "paragraph", F.col("x.line").alias("line"), F.col("x.after").alias("after"))
+    table = _weight_table(docs.sparkSession, model)
+    known = F.broadcast(table.select("g"))
+    inner = _grams(lines).join(known, "g", "left_semi").withColumn("at_end", F.lit(False))
+    over = _breaks(lines).join(known, "g", "left_semi").withColumn("at_end", F.lit(True))
+    # Written: lines, the choice of texts and the places of runs read it.
+    hits = materialize(inner.unionByName(over).dropDuplicates(["row", "paragraph", "g", "at_end"]), "license-pairs")
+    single = materialize(_decide(hits.where(~F.col("at_end")).drop("at_end"), table, model), "license-lines")
+    whole = single.where("overlap >= 1")
+    runs = _wrapped(texts, hits, whole, single.where("overlap < 1"), table, model)
+    return whole.select("row", "paragraph", "family", "score", "overlap").unionByName(runs)
+
+
+def _wrapped(texts: DataFrame, hits: DataFrame, single: DataFrame, partial: DataFrame, table: DataFrame, model: Model) -> DataFrame:
+    """Notices that are runs of lines, or lines with a part of a template (``partial``); not over ``single``."""
+    m = len(model.cores)
+    rest = hits.join(single.select("row", "paragraph"), ["row", "paragraph"], "left_anti")
+    sums = rest.select("row", "g").distinct().join(F.broadcast(table), "g").groupBy("row").agg(*(F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(m)))
+    enough = F.lit(False)
+    for j, (_, p) in enumerate(model.cores):
+        enough = enough | (F.col(f"t{j}") / len(p) >= MIN_OVERLAP)
+    rows = materialize(sums.where(enough).select("row"), "license-texts")
+    starts = rest.join(rows, "row", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("paragraph")).alias("starts"))
+    alone = single.join(rows, "row", "left_semi").groupBy("row").agg(F.collect_set("paragraph").alias("alone"))
+    places = materialize(starts.join(alone, "row", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<int>"))), "license-places")
+    # Texts equal in id and text are one row.
+    some = texts.join(places, "row").dropDuplicates(["row"])
+    some = some.select("row", "starts", F.transform("lines", lambda x, k: F.when(F.array_contains("alone", k), "").otherwise(x)).alias("lines"))
+    size = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+    runs = some.select("row", F.explode(let(F.col("lines"), lambda x: _runs(x, F.col("starts"), size))).alias("x")).select("row", F.col("x.paragraph").alias("paragraph"), F.col("x.line").alias("line"))
+    found = _decide(_grams(runs).join(F.broadcast(table.select("g")), "g", "left_semi").dropDuplicates(["row", "paragraph", "g"]), table, model)
+    ends = F.struct(F.col("paragraph").alias("first"), F.col("paragraph").alias("last")).alias("paragraph")
+    found = found.unionByName(partial.select(*(ends if c == "paragraph" else F.col(c) for c in found.columns)))
+    # Each template that a run holds: a short one may be part of a long one.
+    found = found.select("row", "paragraph", "family", "score", "overlaps", F.posexplode("overlaps").alias("template", "overlap")).withColumn("template", F.col("template") + 1).where(F.col("overlap") >= MIN_OVERLAP)
+    each = F.struct(F.col("paragraph.first").alias("first"), F.col("paragraph.last").alias("last"), "overlap", "family", "template", "score", "overlaps")
+    chosen = found.groupBy("row", "family", "template").agg(F.array_sort(F.collect_list(each)).alias("found")).select("row", F.explode(_chosen(F.col("found"))).alias("x"))
+    every = chosen.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("found"))
+    # A run has at most size + 2 lines; runs of one template share edge lines only.
+    return every.select("row", F.explode(_no_parts(F.col("found"), (size + 2) * m)).alias("x")).select("row", F.col("x.first").alias("paragraph"), "x.family", "x.score", "x.overlap")
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

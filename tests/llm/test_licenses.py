@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from folioscope.llm import licenses as L
@@ -39,6 +41,31 @@ def test_against_one_by_one(spark, model, docs):
         assert r["families"] == sorted({x[1] for x in want})
 
 
+@pytest.mark.parametrize(("width", "mark"), [(70, ""), (80, ""), (72, "# "), (40, " * ")])
+def test_wrapped_headers(spark, model, width, mark):
+    texts = [(f, t) for f, ts in L.TEMPLATES.items() for t in ts if len(t) > width]
+    rows = []
+    for k, (_, t) in enumerate(texts):
+        body = [mark + x for x in textwrap.wrap("Some words first. " + t + " And some after it.", width)]
+        rows.append((k, "\n".join(["code = 1", "", *body, "", "more = 2"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["notices"] for r in L.scan(df, model).collect()}
+    for k, (family, t) in enumerate(texts):
+        assert {n["family"] for n in found[k]} == {family}, t
+
+
+def test_wrapped_between(spark, model):
+    """Not over lines without words; two notices that share a line; a line that is one by itself."""
+    bsd = textwrap.wrap(L.TEMPLATES["bsd"][0], 75)
+    mit = textwrap.wrap(L.TEMPLATES["mit"][2] + " " + L.TEMPLATES["mit"][3], 75)
+    texts = ["\n\n".join(bsd), "\n".join(mit), "\n".join(["All rights reserved.", *bsd]), "\n".join(bsd + ["", *bsd])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(n["paragraph"], n["family"]) for n in r["notices"]] for r in L.scan(df, model).collect()}
+    assert got[0] == [] and got[2] == [(0, "reserved"), (1, "bsd")]
+    assert [f for _, f in got[1]] == ["mit", "mit"]
+    assert got[3] == [(0, "bsd"), (len(bsd) + 1, "bsd")]
+
+
 def test_odd_tables_and_native(model, none, clashing):
     assert L.scan(none, L.train(none)).count() == 0
     out = L.scan(clashing, model)
