@@ -29,10 +29,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated multi-line chunks; a document of nothing else goes."""
+    """Remove repeated multi-line chunks, then repeated runs of lines of 50 words; a document of nothing but repeated chunks goes."""
     found = line_chunks.drop_repeated_chunks(docs)
     left = F.trim(F.translate("text", "\n\t\r", "   ")) != ""
-    return found.where((F.col("removed_chunks") == 0) | left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = materialize(found.where((F.col("removed_chunks") == 0) | left).select(*COLUMNS), "line-chunks")
+    return line_chunks.drop_repeated_passages(kept).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,3 +102,58 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, min
     made = _let(chunks_of(F.col(text), window, divisor), lambda c: _let(lost, lambda x: results(c, x)))
     out = out.select(*kept, F.explode(F.array(made)).alias("__made"))  # computed once, whatever reads its fields
     return out.select(*(F.when(F.col(text).isNotNull(), F.col("__made.text")).alias(c) if c == text else F.col(c) for c in kept), *(F.col(f"__made.{c}").alias(c) for c in added))
+
+
+def _passages(text: Column, min_words: int) -> Column:
+    """Array of (a, b, h): lines with words, counted from 0, and the MD5 of the shortest runs of ``min_words`` words from and up to each."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("line"), _n_words(x).alias("n"))), lambda x: x["n"] > 0)
+
+    def count(part: Column) -> Column:
+        """How many lines of ``part`` have ``min_words`` words; 0: all have fewer."""
+        zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
+        step = lambda a, x: F.when(a["n"] >= min_words, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + x["n"]).alias("n")))
+        return F.aggregate(part, zero, step, lambda a: F.when(a["n"] >= min_words, a["k"]).otherwise(0))
+
+    def run(first: Column, k: Column) -> Column:
+        return F.struct(first.alias("a"), (first + k - 1).alias("b"))
+
+    def runs(w: Column) -> Column:
+        # Every line has a word, so that ``min_words`` lines are enough.
+        ahead = F.transform(w, lambda x, i: _let(count(F.slice(w, i + 1, min_words)), lambda k: F.when(k > 0, run(i, k))))
+        back = F.transform(w, lambda x, i: _let(count(F.reverse(F.slice(w, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))), lambda k: F.when(k > 0, run(i - k + 1, k))))
+        found = F.filter(F.array_distinct(F.concat(ahead, back)), lambda r: r.isNotNull())
+        return F.transform(found, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.unhex(F.md5(F.array_join(F.transform(F.slice(w, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: x["line"]), "\n").cast("binary"))).alias("h")))
+
+    return _let(lines, runs)
+
+
+def _n_words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, "[ \t\r]+", -1), lambda w: w != ""))
+
+
+def drop_repeated_passages(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns with ``text`` less every run of whole lines of ``min_words`` words that occurs at an earlier place.
+
+    A run's boundaries depend on its own lines only: the shortest runs from its first and
+    up to its last lines cover it, wherever it stands.  Lines without words stay and do not
+    interrupt a run; a text of nothing but repeats stays as it is.
+    """
+    base = docs.withColumn("__row", F.xxhash64(doc_id, text))
+    found = base.select("__row", F.col(doc_id).alias("__id"), F.explode(_passages(F.col(text), min_words)).alias("r")).select("__row", "__id", F.col("r.a").alias("__k"), F.col("r.b").alias("b"), F.col("r.h").alias("h"))
+    found = materialize(found, "passages")
+    first = found.groupBy("h").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select("h", "first")
+    gone = found.join(materialize(first, "passages-again"), "h").where(_place() != F.col("first"))
+    gone = gone.groupBy("__row").agg(F.collect_set(F.struct(F.col("__k").alias("a"), "b")).alias("__gone"))
+    gone = gone.select("__row", F.array_distinct(F.flatten(F.transform("__gone", lambda r: F.sequence(r["a"], r["b"])))).alias("__gone"))
+    out = base.join(gone, "__row", "left")
+
+    def less(lost: Column) -> Column:
+        lines = F.split(F.col(text), "\n", -1)
+        # Where lines with words stand among all lines.
+        places = F.filter(F.transform(lines, lambda x, i: F.when(_n_words(x) > 0, i)), lambda i: i.isNotNull())
+        at = _let(places, lambda p: F.transform(lost, lambda k: F.element_at(p, k + 1)))
+        return _let(at, lambda a: F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(a, i)), "\n"))
+
+    made = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(less(F.col("__gone")))
+    made = F.when(F.trim(F.translate(made, "\n\t\r", "   ")) == "", F.col(text)).otherwise(made)
+    return out.select(*(made.alias(c) if c == text else F.col(c) for c in docs.columns))

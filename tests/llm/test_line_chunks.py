@@ -48,3 +48,13 @@ def test_empty_clashing_and_native(none, clashing):
     assert out.schema["n_lines"].dataType.simpleString() == "bigint" and out.count() == clashing.count()
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_passages(spark):
+    """Runs of 50 words or more between foreign lines, long single lines and short runs."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    run = [line("a", 30), "", line("b", 12), line("c", 20)]
+    texts = ["\n".join(["own one", *run, "end one"]), "\n".join(["own two", line("x", 60), *run, "end two"]), "\n".join([line("x", 60), "end three"]), "\n".join(["four", line("a", 30), "end"]), line("x", 60)]
+    got = dict(L.drop_repeated_passages(spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")).collect())
+    assert got[0] == texts[0] and got[1] == "\n".join(["own two", line("x", 60), "", "end two"]) and got[2] == "end three"
+    assert got[3] == texts[3] and got[4] == texts[4] and got[5] is None
