@@ -42,9 +42,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more of the words stand in benchmark windows."""
+    """Drop documents of which a twentieth or more of the words stand in benchmark windows; cut the windows from the others."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where((F.col("n_hit") == 0) | (LEAK_WORDS * F.col("n_hit") < F.col("n_words"))).select(*COLUMNS)
+    kept = found.where((F.col("n_hit") == 0) | (LEAK_WORDS * F.col("n_hit") < F.col("n_words")))
+    n_chars = F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return decontaminate.cut_hits(kept).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,15 @@ def test_run_and_empty(spark, folder, none, tmp_path):
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert F is not None
+
+
+def test_leaks_are_cut_from_long_documents(spark, tmp_path):
+    item = " ".join(f"bench{i}" for i in range(15))
+    own = " ".join(f"é{i}" for i in range(400))
+    folder = tmp_path.as_uri()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    texts = [f"{own}, {item.upper()}! {own}\n{item}", own, f"{item} a few words", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in P.drop_leaks(spark, docs, folder).collect()}
+    assert set(got) == {0, 1, 3} and got[0]["text"] == f"{own}, ! {own}\n" and got[0]["n_chars"] == len(got[0]["text"])
+    assert got[1]["text"] == own and got[3]["text"] is None
