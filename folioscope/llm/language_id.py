@@ -36,6 +36,8 @@ SLOTS = 1 << BITS
 ORDERS = 3
 MAX_SAMPLE = 6000
 MAX_SAMPLE_CHARS = 20_000
+#: Documents of at most that length from which a label is learned from them alone.
+MIN_SHORT = 20
 UNKNOWN = "und"
 _SCALE = 100.0
 _letters: np.ndarray | None = None
@@ -189,16 +191,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> Model:
     """Learn from labelled documents that are not held out."""
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(doc_id, text).alias("h"))
-    counts = {r["label"]: r["count"] for r in usable.where(F.length("text") <= MAX_SAMPLE_CHARS).groupBy("label").count().collect()}
+    is_short = F.length("text") <= MAX_SAMPLE_CHARS
+    counts = {r["label"]: (r["short"], r["all"]) for r in usable.groupBy("label").agg(F.count_if(is_short).alias("short"), F.count("*").alias("all")).collect()}
     if not counts:
         return Model([], np.zeros((SLOTS + 1, 0)), np.zeros(0))
     frequencies, n = document_frequencies(usable)
     each = MAX_SAMPLE / len(counts)
     chosen = F.lit(False)
-    for name, count in sorted(counts.items()):
-        share = min(1.0, each / count)
-        chosen = chosen | ((F.col("label") == name) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = usable.where((F.length("text") <= MAX_SAMPLE_CHARS) & chosen).toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
+    for name, (short, count) in sorted(counts.items()):
+        # The beginnings of long texts stand in where short ones are too few.
+        enough = short >= MIN_SHORT
+        share = min(1.0, each / (short if enough else count))
+        chosen = chosen | ((F.col("label") == name) & (is_short if enough else F.lit(True)) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
+    sample = usable.where(chosen).withColumn("text", F.substring("text", 1, MAX_SAMPLE_CHARS)).toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     return train(sample["text"].to_pylist(), sample["label"].to_pylist(), frequencies, n)
 
 

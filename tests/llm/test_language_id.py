@@ -50,3 +50,9 @@ def test_odd_tables(none, clashing):
     assert model.labels == [] and G.predict(none, model).count() == 0
     out = G.predict(clashing, G.fit(clashing))
     assert out.count() == clashing.count() and dict(out.dtypes)["score"] == "double"
+
+
+def test_label_of_long_documents_only(spark):
+    rows = [(i, "the river runs through the town " * 5, "en") for i in range(60)] + [(100 + i, "der fluss strömt durch die stadt " * 700, "de") for i in range(12)]
+    model = G.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.labels) == ["de", "en"]
