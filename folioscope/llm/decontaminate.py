@@ -20,14 +20,13 @@ and an input column named like an output column is replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import byte_values, chunks, gram_hashes, prefix_hashes, range_hashes, text_bytes, word_spans
@@ -39,8 +38,8 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-#: The same words in one text's bytes; no character is cut, as all bytes from 0x80 belong to words.
-_WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: A character of a word, as Java's expressions have it.
+_WORD_TEXT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 @dataclass
@@ -273,31 +272,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     return out
 
 
-def without_spans(text: str, spans: list[dict[str, int]]) -> str:
-    """The text less the words ``start`` to ``end`` of each span, and what stands between them."""
-    data = text.encode()
-    words = [m.span() for m in _WORD_BYTES.finditer(data)]
-    out, at = [], 0
-    for span in spans:
-        out.append(data[at : words[span["start"]][0]])
-        at = words[span["end"] - 1][1]
-    return b"".join([*out, data[at:]]).decode()
-
-
 def cut_hits(found: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``find_contamination`` with ``text`` less its hits."""
-    schema = found.schema
-    at, hits = schema.names.index(text), schema.names.index("hits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at)
-            some = np.flatnonzero(pc.list_value_length(batch.column(hits)).to_numpy(zero_copy_only=False) > 0).tolist()
-            if some:
-                whole = texts.to_pylist()
-                for i in some:
-                    whole[i] = without_spans(whole[i], batch.column(hits)[i].as_py())
-                texts = pa.array(whole, texts.type)
-            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], schema.names)
-
-    return found.mapInArrow(run, schema)
+    """Rows of ``find_contamination`` with ``text`` less its hits and what stands between their words; expressions only, as a second Python worker a task takes memory."""
+    # Words and what stands between them in turn; word j is piece 2 j, or one later.
+    pieces = F.regexp_extract_all(text, F.lit(f"{_WORD_TEXT}+|[^{_WORD_TEXT[1:]}+"), F.lit(0))
+    shift = F.when(F.col(text).rlike(f"^{_WORD_TEXT}"), 0).otherwise(1)
+    cut = lambda i: F.exists("hits", lambda h: (i >= 2 * h["start"] + shift) & (i <= 2 * h["end"] - 2 + shift))
+    left = F.array_join(F.filter(pieces, lambda x, i: ~cut(i)), "")
+    less = F.when(F.col("n_hit") > 0, left).otherwise(F.col(text))
+    return found.select(*(less.alias(c) if c == text else F.col(c) for c in found.columns))
