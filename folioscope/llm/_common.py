@@ -7,6 +7,8 @@ one subtraction and one multiplication.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer single text is a pass of its own.
 CHUNK_BYTES = 2 << 20
@@ -103,6 +106,56 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), inverse=True)[starts])
 
 
+#: Words of more bytes are hashed by BLAKE2: modulo 2^64 a polynomial gives some long
+#: texts over two letters (from 1,024 bytes on) one value, whatever its base.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, A-Z read as a-z (as ``table`` has it)."""
+    out = range_hashes(prefix_hashes(data, table), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        raw = data[starts[i] : ends[i]].tobytes().lower()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
+
+
+#: Two primes below 2^31: their range hashes together have 62 bits and no such texts.
+_PRIMES = (2_147_483_629, 2_147_483_587)
+
+
+@functools.cache
+def _prime_powers(prime: int, base: int, size: int) -> np.ndarray:
+    """base^0 .. base^(size-1) modulo ``prime``, doubled up."""
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:
+        more = min(have, size - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out
+
+
+def prime_hashes(data: np.ndarray, table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62-bit hashes of byte ranges: polynomials modulo two primes."""
+    size = 1 << max(21, int(len(data)).bit_length())
+    out = np.zeros(len(starts), np.uint64)
+    for prime, base in zip(_PRIMES, (1_103_515_245, 1_664_525_003), strict=True):
+        p = np.uint64(prime)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((table % p)[data] * _prime_powers(prime, base, size)[: len(data)] % p, out=sums[1:])
+        found = (sums[ends] - sums[starts]) % p * _prime_powers(prime, pow(base, -1, prime), size)[starts] % p
+        out = out << np.uint64(31) | found
+    return out
+
+
+def in_share(column: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into the given share of all hashes, however small."""
+    if share >= 1.0:
+        return F.lit(True)
+    return column < F.lit(int(share * 2**64) - 2**63)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every input bit."""
     h = h ^ (h >> np.uint64(31))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import byte_values, chunks, gram_hashes, prefix_hashes, range_hashes, text_bytes, word_spans
+from folioscope.llm._common import byte_values, chunks, gram_hashes, text_bytes, word_hashes, word_spans
 
 BLOCK_BYTES = 16 << 20
 SHINGLE = 3
@@ -59,7 +59,7 @@ class Words:
 def words_of(column: pa.Array) -> Words:
     data, offsets = text_bytes(column, b"\n")
     starts, ends = word_spans(data, _WORD)
-    hashes = range_hashes(prefix_hashes(data, _VALUES), starts, ends)
+    hashes = word_hashes(data, _VALUES, starts, ends)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _tables
-from folioscope.llm._common import byte_values, chunks, gram_hashes, materialize, mix, prefix_hashes, range_hashes, text_bytes, word_spans
+from folioscope.llm._common import byte_values, chunks, gram_hashes, materialize, mix, text_bytes, word_hashes, word_spans
 
 _VALUES = byte_values(9, fold_case=True)
 _WORD = np.ones(256, bool)
@@ -51,7 +51,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     data, offsets = text_bytes(column, b"\n")
     starts, ends = word_spans(data, _WORD)
-    words = range_hashes(prefix_hashes(data, _VALUES), starts, ends)
+    words = word_hashes(data, _VALUES, starts, ends)
     grams = gram_hashes(words, k)
     first = np.searchsorted(starts, offsets).tolist()
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -370,6 +370,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, text:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(sets, "cid long, set binary").groupBy("cid").agg(F.first("set").alias("set"))
+    # Written first: a join of two plain shuffles can split a class with many pairs.
+    found = materialize(found, "verified-sets")
     joined = pairs.join(found.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(check, "u long, v long")
 

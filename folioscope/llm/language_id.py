@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import chunks
+from folioscope.llm._common import chunks, in_share
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -197,13 +197,13 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
         return Model([], np.zeros((SLOTS + 1, 0)), np.zeros(0))
     frequencies, n = document_frequencies(usable)
     each = MAX_SAMPLE / len(counts)
-    chosen = F.lit(False)
+    picked = F.lit(False)
     for name, (short, count) in sorted(counts.items()):
         # The beginnings of long texts stand in where short ones are too few.
         enough = short >= MIN_SHORT
         share = min(1.0, each / (short if enough else count))
-        chosen = chosen | ((F.col("label") == name) & (is_short if enough else F.lit(True)) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = usable.where(chosen).withColumn("text", F.substring("text", 1, MAX_SAMPLE_CHARS)).toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
+        picked = picked | ((F.col("label") == name) & (is_short if enough else F.lit(True)) & in_share(F.col("h"), share))
+    sample = usable.where(picked).withColumn("text", F.substring("text", 1, MAX_SAMPLE_CHARS)).toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     return train(sample["text"].to_pylist(), sample["label"].to_pylist(), frequencies, n)
 
 

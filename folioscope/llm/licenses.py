@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import materialize
+from folioscope.llm._common import in_share, materialize
 from folioscope.llm.line_chunks import _let as let
 
 MAX_NEGATIVES = 1000
@@ -203,7 +203,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
     rows = docs.where(F.col(text).isNotNull())
     n = max(1, rows.count())
     share = min(1.0, MAX_NEGATIVES / n)
-    lines = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring(F.substring_index(text, "\n", 1), 1, 400).alias("line")).distinct().collect()
+    lines = rows.where(in_share(F.xxhash64(doc_id, text), share)).select(F.substring(F.substring_index(text, "\n", 1), 1, 400).alias("line")).distinct().collect()
     cores = [core_of(t) for ts in TEMPLATES.values() for t in ts]
     # A sampled line that holds a template's wording is no negative example.
     return Model(sorted(r["line"] for r in lines if not _covers(pairs_of(r["line"]), cores)))

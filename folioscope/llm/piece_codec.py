@@ -10,8 +10,8 @@ leftmost place is merged, so the results equal the library's.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows
 are independent, so ties, repeated rows and extra columns have no influence; words
-of over ``LONG_WORD`` symbols use the same ranks through a heap, which keeps the time
-near linear in the length of a text without spaces.
+of over ``LONG_WORD`` symbols take their rounds over linked symbols, where a round costs
+what it merges, which keeps the time near linear in the length of a text without spaces.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from folioscope.llm._pieces import PieceStore, split_spaces
 
 SPACE = "▁"
 LONG_WORD = 1024
+#: Places of one rank that a round of a long word looks at.
+NEAR = 4096
 _NONE = np.iinfo(np.int32).max
 
 
@@ -159,7 +161,7 @@ class PieceModel:
         done, word = self._rounds(symbols, word)
         long = np.flatnonzero(lengths > LONG_WORD)
         if len(long):
-            extra = [self._heap_merge(words[i]) for i in long]
+            extra = [self._long_rounds(words[i]) for i in long]
             done = np.concatenate([done, *extra])
             word = np.concatenate([word, np.repeat(long, [len(x) for x in extra])])
             by = np.argsort(word, kind="stable")
@@ -208,32 +210,82 @@ class PieceModel:
         by = np.argsort(word, kind="stable")
         return symbols[by], word[by]
 
-    def _heap_merge(self, w: str) -> np.ndarray:
-        """The same merges one at a time, for a very long word."""
-        symbol = [int(self.char_symbol[min(ord(c), len(self.char_symbol) - 1)]) for c in w]
-        symbol = [s if s >= 0 else -1 - ord(c) for s, c in zip(symbol, w, strict=True)]
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int, j: int) -> None:
-            if symbol[i] >= 0 and symbol[j] >= 0 and (found := self.pairs.get(symbol[i] << 20 | symbol[j])):
-                heapq.heappush(heap, (found[0], i, j, symbol[i], symbol[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        alive = [True] * n
-        while heap:
-            _, i, j, left, right, to = heapq.heappop(heap)
-            if not (alive[i] and alive[j] and after[i] == j and symbol[i] == left and symbol[j] == right):
+    def _long_rounds(self, w: str) -> np.ndarray:
+        """The same rounds over one long word: symbols are linked, places wait in a list per rank.
+
+        A round looks only at the places of the least rank, so its cost does not depend on
+        the word's length.
+        """
+        points = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        known = self.char_symbol[np.minimum(points, len(self.char_symbol) - 1)]
+        symbols = np.where(known >= 0, known, -1 - points)
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+        near: dict[int, int] = {}
+
+        def offer(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (after[at] < n)]
+            rank, _ = self._lookup(symbols[at], symbols[after[at]])
+            at, rank = at[rank < _NONE], rank[rank < _NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            heads = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(at) else np.zeros(0, np.int64)
+            for r, part in zip(rank[heads].tolist(), np.split(at, heads[1:]), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        offer(np.arange(n - 1))
+        while waiting:
+            r = heapq.heappop(waiting)
+            parts = places.pop(r)
+            if len(parts) > 16:
+                parts = [np.unique(np.concatenate(parts))]
+            # All places up to ``limit``; the rest stays as views, so it costs a round nothing.
+            reach = near.get(r, NEAR)
+            limit = min((int(p[reach]) for p in parts if len(p) > reach), default=n)
+            at = parts[0][:reach] if len(parts) == 1 else np.unique(np.concatenate([p[:reach] for p in parts]))
+            at = at[at < limit]
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            rank, to = self._lookup(symbols[at], symbols[after[at]])
+            at, to = at[rank == r], to[rank == r]
+            good = np.zeros(len(at), bool)
+            if len(at):
+                run = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                number = np.arange(len(at))
+                good = (number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0
+                if self.careful[to[good]].any():
+                    # Up to the first merge whose piece may go on merging at once: what follows may change.
+                    made = to[good]
+                    left, right = before[at[good]], after[after[at[good]]]
+                    beside = [np.where(left >= 0, symbols[left], -1), np.where(right < n, symbols[np.minimum(right, n - 1)], -1)]
+                    next_rank = np.minimum.reduce([self._lookup(beside[0], made)[0], self._lookup(made, beside[1])[0], self._lookup(made, made)[0]])
+                    restless = np.flatnonzero(next_rank <= r)
+                    near[r] = 8 if len(restless) else min(2 * reach, NEAR)
+                    if len(restless):
+                        last = np.flatnonzero(good)[restless[0]]
+                        good[last + 1 :] = False
+                        limit = int(at[last]) + 1
+            parts = [p[np.searchsorted(p, limit) :] for p in parts]
+            if any(len(p) for p in parts):
+                places[r] = [p for p in parts if len(p)]
+                heapq.heappush(waiting, r)
+            if not good.any():
                 continue
-            symbol[i], alive[j], after[i] = to, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                offer(i, after[j])
-            if before[i] >= 0:
-                offer(before[i], i)
-        return np.array([s for s, a in zip(symbol, alive, strict=True) if a], np.int64)
+            at, to = at[good], to[good]
+            gone = after[at]
+            symbols[at], alive[gone] = to, False
+            following = after[gone]
+            after[at] = following
+            inner = following < n
+            before[following[inner]] = at[inner]
+            offer(np.unique(np.concatenate([before[at], at])))
+        return symbols[alive]
 
     def _ids(self, symbols: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary ids; a character without one becomes its bytes' ids."""

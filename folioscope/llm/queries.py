@@ -22,7 +22,9 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import suffix_repeats
 
     got = suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), min_len=400)
-    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # A cut may fall inside a character.
+    kept = F.when(F.size("removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string"))
+    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"))
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _tables
-from folioscope.llm._common import byte_values, chunks, materialize, prefix_hashes, range_hashes, text_bytes
+from folioscope.llm._common import byte_values, chunks, materialize, mix, prefix_hashes, prime_hashes, range_hashes, text_bytes
 
 GRAM = 32
 #: Region bytes of one suffix array; a task builds one after another.
@@ -75,7 +75,8 @@ def regions(data: np.ndarray, offsets: np.ndarray, min_len: int) -> dict[str, np
     start = window[heads]
     stop = window[np.append(heads[1:], len(window)) - 1] + min_len
     h = grams[anchor[heads]].view(np.int64)
-    c = range_hashes(prefix, start, stop).view(np.int64)
+    # Equal regions are not compared byte by byte, so a second hash of another kind is mixed in.
+    c = mix(range_hashes(prefix, start, stop) + prime_hashes(data, _VALUES, start, stop) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
     text = np.searchsorted(offsets, start, side="right") - 1
     # A run of equal regions one byte apart (one repeated character): its two ends tell all.
     like = np.zeros(len(h), bool)

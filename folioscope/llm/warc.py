@@ -33,6 +33,8 @@ from folioscope.llm._common import fresh_dir, materialize
 
 #: Run files that a merging task keeps open.
 OPEN_FILES = 128
+#: Archive bytes that a merging task reads, about.
+RANGE_BYTES = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -131,7 +133,7 @@ def decode_record(member: bytes) -> tuple[int | None, int, str, str, int | None]
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None) -> DataFrame:
-    """url_key, ts, page_id, url, payload (null in revisits), size, sha1, refers_to.
+    """url_key, ts, page_id, url, payload (null in revisits), size, sha1, refers_to, same (SHA-256).
 
     ``captured`` is a timestamp; without one, seconds from a fixed day stand for it, one a page id.
     """
@@ -139,21 +141,28 @@ def plan_records(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id",
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), url_key(F.col(url)).alias("url_key"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.sha1(body).alias("sha1"), F.sha2(body, 256).alias("same"), F.octet_length(body).cast("long").alias("size"))
     last = pages.select(F.col(page_id).cast("long").alias("page_id"), F.sha2(body, 256).alias("same")).groupBy("same").agg(F.max("page_id").alias("last"))
+    # Written first: a join of two plain shuffles can split a payload that many pages share.
+    last = materialize(last, "payloads")
     response = (F.col("size") < min_bytes) | F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(last, "same").select("url_key", "ts", "page_id", "url", F.when(response, F.col("payload")).alias("payload"), "size", "sha1", F.when(~response, F.col("last")).alias("refers_to"))
+    return rows.join(last, "same").select("url_key", "ts", "page_id", "url", F.when(response, F.col("payload")).alias("payload"), "size", "sha1", F.when(~response, F.col("last")).alias("refers_to"), "same")
 
 
 _INDEX = "url_key string, ts string, page_id long, run int, path string, offset long, length long"
 
 
 def write_runs(records: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write run files; returns their index entries, each run's in order."""
+    """Write run files; returns their index entries, each run's in order.
+
+    A run's name holds the attempt that wrote it, and so do its entries: a task that runs
+    again never shares a file with entries of its first attempt.
+    """
     folder = folder or fresh_dir(records.sparkSession, "warc")
     names = [f.split()[0] for f in _INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        path = f"{folder}/run-{number:06d}.warc.gz"
+        task = TaskContext.get()
+        number = task.partitionId()
+        path = f"{folder}/run-{number:06d}-{task.taskAttemptId()}.warc.gz"
         first = next(batches, None)
         if first is None:
             return
@@ -171,7 +180,7 @@ def write_runs(records: DataFrame, folder: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([number] * n, pa.int32()), pa.array([path] * n, pa.string()), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], names)
                 batch = next(batches, None)
 
-    return records.sortWithinPartitions("url_key", "ts", "page_id").mapInArrow(run, _INDEX)
+    return records.sortWithinPartitions("url_key", "ts", "page_id", "same", "url").mapInArrow(run, _INDEX)
 
 
 class _Runs:
@@ -192,8 +201,11 @@ def merge_histories(index: DataFrame, read: bool = True) -> DataFrame:
     """All captures in global order of (url_key, ts, page_id): by ``shard``, then ``position``.
 
     With ``read``, each capture's record is read from its run as it is merged: payload_bytes,
-    payload_digest, record_type, refers_to.
+    payload_digest, record_type, refers_to.  A range holds about ``RANGE_BYTES`` of archive,
+    and ties in key, time and id are dealt by run, so what a task merges is bounded.
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     schema = "url_key string, ts string, page_id long, shard int, position long" + (", payload_bytes long, payload_digest string, record_type string, refers_to long" if read else ", path string, offset long, length long")
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), *([pa.int64(), pa.string(), pa.string(), pa.int64()] if read else [pa.string(), pa.int64(), pa.int64()])]
@@ -217,7 +229,7 @@ def merge_histories(index: DataFrame, read: bool = True) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return index.repartitionByRange("url_key", "ts", "page_id").sortWithinPartitions("run", "offset").mapInArrow(run, schema)
+    return index.repartitionByRange(ranges, "url_key", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "offset").mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -25,6 +25,18 @@ def make_rows(n=60, seed=3):
     return rows + [rows[5], rows[5], (None, "a row without an id", "en", None, None), (None, None, None, None, None)]
 
 
+def thue_morse(n, letters):
+    """Words that polynomials modulo 2^64 do not tell from their complements."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.fixture(scope="session")
+def alike(spark):
+    """Two different texts over two letters with equal polynomial hashes, and a copy of one."""
+    a, b = thue_morse(4096, "ab"), thue_morse(4096, "ba")
+    return spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+
+
 @pytest.fixture(scope="session")
 def rows():
     return make_rows()

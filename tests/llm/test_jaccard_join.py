@@ -71,3 +71,8 @@ def test_odd_tables(docs, none, clashing):
     assert len(got) == docs.count() and {r["component_id"] for r in got if r["doc_id"] is None} == {None}
     kept = J.drop_near_duplicates(clashing)
     assert kept.columns and kept.where("doc_id = 5").count() == 1
+
+
+def test_hashes_of_long_words(alike):
+    got = {r["doc_id"]: r["component_id"] for r in J.similar_groups(alike, 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}

@@ -56,3 +56,14 @@ def test_label_of_long_documents_only(spark):
     rows = [(i, "the river runs through the town " * 5, "en") for i in range(60)] + [(100 + i, "der fluss strömt durch die stadt " * 700, "de") for i in range(12)]
     model = G.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(model.labels) == ["de", "en"]
+
+
+def test_small_shares(spark):
+    """A share below one millionth still takes rows, and the same rows as a larger one takes."""
+    from pyspark.sql import functions as F
+
+    from folioscope.llm._common import in_share
+
+    df = spark.createDataFrame([(-(2**63),), (-(2**63) + 10**9,), (0,), (2**63 - 1,)], "h long")
+    got = [df.where(in_share(F.col("h"), s)).count() for s in (0.0, 1e-12, 1e-9, 0.4, 0.6, 1.0)]
+    assert got == [0, 1, 2, 2, 3, 4]

@@ -36,3 +36,15 @@ def test_tables(docs, none, clashing, library):
     assert C.round_trip(none, PATH, ["doc_id"]).count() == 0
     ids = C.encode(clashing.drop("ids"), PATH, ["doc_id", "__extra"])
     assert C.decode(ids, PATH, ["doc_id"]).count() == clashing.count()
+
+
+def test_long_words(library):
+    """Words on both sides of LONG_WORD, with pieces that go on merging and without."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    parts = ["th", "and", "an", "te", "de", "ion", " ", "  ", "日", "本", "é"]
+    texts = [c * n for c in ("a", "ab", "th", "ha", "=-", " ") for n in (C.LONG_WORD // 2, C.LONG_WORD, C.LONG_WORD + 1, 2500)]
+    texts += ["".join(rng.choice(parts) for _ in range(3000)) for _ in range(5)] + ["".join(chr(rng.randrange(97, 123)) for _ in range(n)) for n in (1023, 1024, 1025, 30_000)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(4000))]
+    assert C.Encoder(PATH).encode(pa.array(texts)).to_pylist() == library.encode(texts)

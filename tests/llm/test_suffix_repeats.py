@@ -80,3 +80,8 @@ def test_maximal_repeats(seed):
 def suffixes_text(texts, starts, p):
     k = int(np.searchsorted(starts, p, side="right")) - 1
     return texts[k][p - starts[k] :]
+
+
+def test_hashes_of_two_letters(alike):
+    check(alike, 400)
+    check(alike.where("doc_id < 3"), 700)

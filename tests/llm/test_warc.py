@@ -54,3 +54,12 @@ def test_keys_and_odd_tables(spark):
 
     extra = spark.createDataFrame([(1, "u", "h")], SCHEMA).withColumns({"ts": F.lit(1), "sha1": F.lit(2), "size": F.lit(3), "path": F.lit(4)})
     assert W.archive_and_read(extra).first()["payload_bytes"] == 1
+
+
+def test_repeated_ids_and_hot_payload(spark):
+    """Rows that share the response's id are all responses; a payload of most pages is one response."""
+    rows = [(9, "https://a.org/", "same"), (9, "https://b.org/", "same"), (1, "https://a.org/", "same")] + [(100 + i, f"https://h{i % 3}.org/{i}", "error page") for i in range(200)]
+    got = W.archive_and_read(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] < 100) == [(1, "revisit", 9), (9, "response", None), (9, "response", None)]
+    assert [r["page_id"] for r in got if r["page_id"] >= 100 and r["record_type"] == "response"] == [299]
+    assert all(r["refers_to"] == 299 for r in got if 100 <= r["page_id"] < 299)
