@@ -16,7 +16,9 @@ from folioscope.llm._common import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Calibrated probability below which no language is accepted (of four: 0.25 is a guess).
 MIN_LANGUAGE_SCORE = 0.4
-#: Share of a document's words in benchmark windows from which it goes: one in twenty.
+#: Words of a benchmark window; a document that holds a whole one goes.
+WINDOW = 13
+#: So does one of whose words a twentieth stand in windows of shorter items.
 LEAK_WORDS = 20
 
 
@@ -42,9 +44,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more of the words stand in benchmark windows; cut the windows from the others."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    kept = found.where((F.col("n_hit") == 0) | (LEAK_WORDS * F.col("n_hit") < F.col("n_words")))
+    """Drop documents that hold a window of ``WINDOW`` benchmark words, or of which a twentieth is hit; short items are cut from the others."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW)
+    whole = F.exists("hits", lambda h: h["end"] - h["start"] >= WINDOW)
+    kept = found.where((F.col("n_hit") == 0) | (~whole & (LEAK_WORDS * F.col("n_hit") < F.col("n_words"))))
     n_chars = F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return decontaminate.cut_hits(kept).withColumn("n_chars", n_chars).select(*COLUMNS)
 
