@@ -179,9 +179,12 @@ nemotron_parse_to_markdown = _external("nemotron_parse_to_markdown")
 
 
 def unlimited_ocr2_to_markdown(text: str) -> str:
-    from folioscope.operators.layout import convert
+    from folioscope.operators import layout
 
-    return _no_residue(IMAGE_LINK.sub("", convert(text)))
+    made = re.sub(r"\n{3,}", "\n\n", IMAGE_LINK.sub("", layout.convert(text))).strip()
+    if left := layout.residue(made):
+        raise ValueError(f"block marks are left: {left[:5]}")
+    return made
 
 
 class _Markdown(HTMLParser):
@@ -358,38 +361,36 @@ def surya_blocks_to_markdown(text: str) -> str:
     return chandra_html_to_markdown("".join(made), include_headers_footers=True) if made else ""
 
 
-_STRIP = (strip_outer_whitespace,)
-_ONLY = (*_STRIP, require_non_empty)
-#: Chains by model; a model that is not here is refused.
+# The chain of each model; a model that is not here is refused.
 REGISTRY: dict[str, tuple[Callable[[str], str], ...]] = {
-    "deepseek-ai/DeepSeek-OCR": (*_STRIP, deepseek_strip_grounding, require_non_empty),
-    "deepseek-ai/DeepSeek-OCR-2": (*_STRIP, deepseek_strip_grounding),
-    "tiiuae/Falcon-OCR": (*_STRIP, falcon_strip_unused_tokens),
-    "rednote-hilab/dots.mocr": _ONLY,
-    "rednote-hilab/dots.ocr": _STRIP,
-    "google/gemma-4-12B-it": (*_STRIP, unwrap_fence, require_non_empty),
-    "zai-org/GLM-OCR": _ONLY,
-    "tencent/HunyuanOCR": (*_STRIP, clean_repeated_substrings),
-    "kraken/PP-OCRv6-medium": _STRIP,
-    "lightonai/LightOnOCR-2-1B": _STRIP,
-    "datalab-to/indra-ocr": _STRIP,
-    "datalab-to/chandra-ocr-2": (*_STRIP, chandra_html_to_markdown),
-    "datalab-to/surya-ocr-2.5": (*_STRIP, surya_blocks_to_markdown),
-    "lightonai/LightOnOCR-3-4B": _STRIP,
-    "lightonai/LightOnOCR-3-0.8B": _STRIP,
-    "nvidia/Nemotron-3.5-Parse": (*_STRIP, nemotron_parse_to_markdown, strip_underscore_emphasis),
+    "deepseek-ai/DeepSeek-OCR": (strip_outer_whitespace, deepseek_strip_grounding, require_non_empty),
+    "deepseek-ai/DeepSeek-OCR-2": (strip_outer_whitespace, deepseek_strip_grounding),
+    "tiiuae/Falcon-OCR": (strip_outer_whitespace, falcon_strip_unused_tokens),
+    "rednote-hilab/dots.mocr": (strip_outer_whitespace, require_non_empty),
+    "rednote-hilab/dots.ocr": (strip_outer_whitespace,),
+    "google/gemma-4-12B-it": (strip_outer_whitespace, unwrap_fence, require_non_empty),
+    "zai-org/GLM-OCR": (strip_outer_whitespace, require_non_empty),
+    "tencent/HunyuanOCR": (strip_outer_whitespace, clean_repeated_substrings),
+    "kraken/PP-OCRv6-medium": (strip_outer_whitespace,),
+    "lightonai/LightOnOCR-2-1B": (strip_outer_whitespace,),
+    "datalab-to/indra-ocr": (strip_outer_whitespace,),
+    "datalab-to/chandra-ocr-2": (strip_outer_whitespace, chandra_html_to_markdown),
+    "datalab-to/surya-ocr-2.5": (strip_outer_whitespace, surya_blocks_to_markdown),
+    "lightonai/LightOnOCR-3-4B": (strip_outer_whitespace,),
+    "lightonai/LightOnOCR-3-0.8B": (strip_outer_whitespace,),
+    "nvidia/Nemotron-3.5-Parse": (strip_outer_whitespace, nemotron_parse_to_markdown, strip_underscore_emphasis),
     "numind/NuExtract3": (nuextract3_strip_thinking,),
-    "allenai/olmOCR-2-7B-1025-FP8": (*_STRIP, drop_front_matter),
-    "ATH-MaaS/OvisOCR2": (*_STRIP, drop_bbox_blocks),
-    "ATH-MaaS/OvisOCR3": (*_STRIP, drop_bbox_blocks),
-    "SoMarkAI/OXR-1.0": (*_STRIP, oxr_drop_image_links),
-    "openbmb/MiniCPM-OCR-1.0": (*_STRIP, oxr_drop_image_links),
-    "PaddlePaddle/PaddleOCR-VL-1.6": _STRIP,
-    "baidu/Qianfan-OCR": (*_STRIP, qianfan_strip_thinking, require_non_empty),
-    "Qwen/Qwen3.5-9B": (*_STRIP, unwrap_fence, require_non_empty),
-    "ds4sd/SmolDocling-256M-preview": (*_STRIP, smoldocling_doctags_to_markdown),
-    "baidu/Unlimited-OCR": (*_STRIP, strip_edge_specials, unlimited_ocr_to_markdown),
-    "baidu/Unlimited-OCR-2": (*_STRIP, unlimited_ocr2_to_markdown),
+    "allenai/olmOCR-2-7B-1025-FP8": (strip_outer_whitespace, drop_front_matter),
+    "ATH-MaaS/OvisOCR2": (strip_outer_whitespace, drop_bbox_blocks),
+    "ATH-MaaS/OvisOCR3": (strip_outer_whitespace, drop_bbox_blocks),
+    "SoMarkAI/OXR-1.0": (strip_outer_whitespace, oxr_drop_image_links),
+    "openbmb/MiniCPM-OCR-1.0": (strip_outer_whitespace, oxr_drop_image_links),
+    "PaddlePaddle/PaddleOCR-VL-1.6": (strip_outer_whitespace,),
+    "baidu/Qianfan-OCR": (strip_outer_whitespace, qianfan_strip_thinking, require_non_empty),
+    "Qwen/Qwen3.5-9B": (strip_outer_whitespace, unwrap_fence, require_non_empty),
+    "ds4sd/SmolDocling-256M-preview": (strip_outer_whitespace, smoldocling_doctags_to_markdown),
+    "baidu/Unlimited-OCR": (strip_outer_whitespace, strip_edge_specials, unlimited_ocr_to_markdown),
+    "baidu/Unlimited-OCR-2": (strip_outer_whitespace, unlimited_ocr2_to_markdown),
 }
 EXTRACTION_ONLY = {"LiquidAI/LFM2.5-VL-1.6B-Extract": "it stores extracted fields, not text"}
 

@@ -75,6 +75,13 @@ CASES = [
     (postproc.surya_blocks_to_markdown, json.dumps([{"reading_order": 1, "skipped": False, "html": "<p>b</p>", "raw_label": "Text", "label": "text"}, {"reading_order": 0, "skipped": False, "html": "204", "raw_label": "Page-Header", "label": "x"}, {"reading_order": 2, "skipped": True, "html": "c", "raw_label": "", "label": ""}]), "204\n\nb"),
     (layout.convert, "<PAGE><BLOCK>title<LEVEL1>[1, 2, 3, 4] A\n<BLOCK>title<LEVEL1>[1, 2, 3, 5] B\n<BLOCK>text[1, 2, 3, 4]one <MERGE><BLOCK>text[1,2,3,4]two<PAGE><BLOCK>append_text[1,2,3,4]x\n<BLOCK>image[1,2,3,2000]", "# A B\n\nonetwo\n\nx\n\n![](page2_1_2_3_1000.jpg)"),
     (layout.convert, "<PAGE><BLOCK>table[1,2,3,4]<table><tr><th>h</th></tr><tr><td>1</td></tr></table><PAGE><BLOCK>append_table[1,2,3,4]<table><tr><th>H</th></tr><tr><td>2</td></tr></table>", "<table><tr><th>h</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table>"),
+    (layout.convert, "hello plain page", "hello plain page"), (layout.convert, None, ""), (layout.convert, "```markdown\n<PAGE>\n<PAGE>two\n```", "two"),
+    (layout.convert, "<PAGE>\n<PAGE><BLOCK>seal[7,8,9,10]<FORK>", "![](page2_7_8_9_10.jpg)"), (layout.convert, "lead <LEVEL2> text<BLOCK>text[7,8,9,10]<FORK>body<PAGE>  <PAGE>third", "lead  text\n\nbody\n\nthird"),
+    (layout.convert, "text[7,8,9,10]first\n<FORK>\ntitle<LEVEL3>[7,8,9,10]  A  \n b\nnote[7,8,9,10] stays", "first\n\n### A b note[7,8,9,10] stays"),
+    (layout.convert, "<BLOCK>cross_table[7,8,9,10]<table><tr><td>1</td></tr></table><PAGE><BLOCK>table[7,8,9,10]<table><tr><td>x</td></tr></table><PAGE><BLOCK>append_table[7,8,9,10]<table><tr><td>2</td></tr></table>", "<table><tr><td>1</td></tr></table>\n\n<table><tr><td>x</td></tr><tr><td>2</td></tr></table>"),
+    (layout.convert, "<BLOCK>cross_text[7,8,9,10]a <PAGE><BLOCK>figure[7,8,9,10][Figure]<PAGE><BLOCK>append_text[7,8,9,10]b<BLOCK>append_text[7,8,9,10]c", "abc\n\n![](page2_7_8_9_10.jpg)"),
+    (layout.convert, '<BLOCK>table[7,8,9,10]<table><tr><td colspan="2x" rowspan="3">\\coloneqq</td></tr></table>\n[7, 8, 9, 10]\n<BLOCK>text[7,8,9,10]###', '<table><tr><td colspan="2" rowspan="3">:=</td></tr></table>'),
+    (postproc.unlimited_ocr2_to_markdown, "<BLOCK>image[7,8,9,10]<FORK><BLOCK>text[7,8,9,10]<FORK>caption", "caption"),
     (layout.convert, "<PAGE><BLOCK>title<LEVEL1>[1,2,3,4]A\n<BLOCK>text[1,2,3,4]t\n<BLOCK>title<LEVEL1>[1,2,3,4]B", "# A\n\nt\n\n## B"),
 ]
 
@@ -84,7 +91,7 @@ def test_transforms(step, text, want):
     assert step(text) == want
 
 
-@pytest.mark.parametrize(("step", "text"), [(postproc.qianfan_strip_thinking, "<think>a"), (postproc.deepseek_strip_grounding, "a <|x|>"), (postproc.surya_blocks_to_markdown, "{"), (postproc.nemotron_parse_to_markdown, "x")])
+@pytest.mark.parametrize(("step", "text"), [(postproc.qianfan_strip_thinking, "<think>a"), (postproc.deepseek_strip_grounding, "a <|x|>"), (postproc.surya_blocks_to_markdown, "{"), (postproc.nemotron_parse_to_markdown, "x"), (postproc.unlimited_ocr2_to_markdown, "<BLOCK>text[7,8,9,10]hello <BLOCK x> world"), (postproc.unlimited_ocr2_to_markdown, "a < |x y| > b")])
 def test_failing_transforms(step, text):
     got, done, error = postproc.apply(text, (postproc.identity, step, postproc.identity))
     assert got is None and done == ["identity"] and error.startswith(step.__name__)
