@@ -14,8 +14,9 @@ of documents.
 
 Defined results: null or wordless texts have no words and no hits; items without words
 have no windows; an item id of null is written as the empty string; rows are
-independent, so repeated rows get equal results; other columns are kept as they are,
-and an input column named like an output column is replaced.
+independent, so ties and repeated rows get equal results; texts over one pass are handled
+whole; an empty table of documents or of items gives no hits; other columns are kept as they
+are, and an input column named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -275,8 +276,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 def cut_hits(found: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``find_contamination`` with ``text`` less its hits and what stands between their words; expressions only, as a second Python worker a task takes memory."""
     # Words and what stands between them in turn; word j is piece 2 j, or one later.
-    pieces = F.regexp_extract_all(text, F.lit(f"{_WORD_TEXT}+|[^{_WORD_TEXT[1:]}+"), F.lit(0))
-    shift = F.when(F.col(text).rlike(f"^{_WORD_TEXT}"), 0).otherwise(1)
+    # Only of texts with hits: a null costs nothing, wherever the expression is evaluated.
+    hit = F.when(F.col("n_hit") > 0, F.col(text))
+    pieces = F.regexp_extract_all(hit, F.lit(f"{_WORD_TEXT}+|[^{_WORD_TEXT[1:]}+"), F.lit(0))
+    shift = F.when(hit.rlike(f"^{_WORD_TEXT}"), 0).otherwise(1)
     cut = lambda i: F.exists("hits", lambda h: (i >= 2 * h["start"] + shift) & (i <= 2 * h["end"] - 2 + shift))
     left = F.array_join(F.filter(pieces, lambda x, i: ~cut(i)), "")
     less = F.when(F.col("n_hit") > 0, left).otherwise(F.col(text))

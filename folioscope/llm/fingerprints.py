@@ -8,7 +8,10 @@ extremes count double) and header distances, bounded by ``MOST``; likeness is on
 the share of that bound.
 
 Defined results: null reads as the empty text; texts of under five bytes have no
-triplets and differ by length only; equal texts have equal digests.
+triplets and differ by length only; equal texts have equal digests.  Very long texts are
+digested whole.  Rows of equal ids are ordered by text, and repeated rows follow each
+other; a null id is the least.  An empty table gives an empty result; ``fingerprint`` keeps
+other columns and replaces one of its own name, the pairs ignore other columns.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ sums per document; no shuffle.  The model has a fixed size.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; documents
 with a null label or id are not learned from; without any usable label every prediction
 is ``und``; ties go to the first label in order; rows are independent, so repeated rows
-get equal results.
+get equal results; very long texts are predicted whole, and learned from by their first
+``MAX_SAMPLE_CHARS`` characters where a label has few short ones; an empty table gives an
+empty result; other columns are kept, and one named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def train(texts: list[str], labels: list[str], frequencies: np.ndarray, n_docume
         slots, _, _ = grams(pa.array([t], pa.string()))
         found = np.concatenate(slots)
         at, counts = np.unique(found[found < SLOTS], return_counts=True)
-        rows.append((at, _SCALE * counts / max(1, counts.sum()) * idf[at]))
+        rows.append((at.astype(np.int32), (_SCALE * counts / max(1, counts.sum()) * idf[at]).astype(np.float32)))
     z, n = np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k))  # the last slot is the bias
 
     def solve(at: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ otherwise the library's priority queue could take that one in between; then only
 leftmost place is merged, so the results equal the library's.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows
-are independent, so ties, repeated rows and extra columns have no influence; words
+are independent, so ties, repeated rows and extra columns have no influence; an empty
+table gives an empty result; very long texts are encoded whole; words
 of over ``LONG_WORD`` symbols take their rounds over linked symbols, where a round costs
 what it merges, which keeps the time near linear in the length of a text without spaces.
 """

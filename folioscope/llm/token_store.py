@@ -18,7 +18,8 @@ documents by ascending id.
 
 Defined results: a null text is empty and has the end id only; rows of equal ids
 stand next to each other, ordered by text; null ids come first; other columns are
-ignored; an empty table gives no file.
+ignored; an empty table gives no file; a very long text is encoded whole and has a
+block of its own size.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined results: a null payload is empty; among equal payloads of at least ``min
 bytes the greatest page id is the response and the others refer to it (rows that share
 that id are all responses, rows with a null id are revisits unless all ids are null);
 a null URL has an empty key; ties in key and time are ordered by page id, then run;
-other columns are ignored; an empty table gives no archive.
+repeated rows are records of their own; very long payloads are one record; other columns
+are ignored; an empty table gives no archive.
 """
 
 from __future__ import annotations
