@@ -1,8 +1,10 @@
 """Edit counts of two texts by bit-parallel alignment.
 
 Column bit vectors (one Python integer for all rows) give the distance in a few integer
-operations per character; the stored vectors give the alignment.  Long pairs are halved
-at the best split first, so memory stays bounded.  Among minimal alignments, going back
+operations per character; the stored vectors give the alignment.  Only a band of diagonals
+around the main one is computed, widened until the distance fits into it, so near texts
+cost their length times their distance.  Pairs that are far apart take the whole matrix;
+long ones are halved at the best split first, so memory stays bounded.  Among minimal alignments, going back
 from the ends, a deletion is taken before an insertion and an insertion before a
 diagonal step.  The distance never depends on that; with illegible characters the
 discounted counts may.
@@ -21,6 +23,8 @@ from folioscope.constants import ILLEGIBLE
 
 #: Cells (reference times output) that one alignment stores; more are halved.
 MOST_CELLS = 1 << 27
+#: Width of the first band of diagonals; it grows until the distance fits into it.
+FIRST_BAND = 64
 
 
 def _where(ref: str) -> dict[str, int]:
@@ -84,6 +88,103 @@ def operations(ref: str, out: str) -> tuple[bytes, int]:
 def _align(ref: str, out: str) -> tuple[bytes, int]:
     if not ref or not out:
         return b"d" * len(ref), len(out)
+    width = max(FIRST_BAND, 2 * abs(len(ref) - len(out)))
+    while width * 4 < min(len(ref), len(out)):
+        if (found := _align_near(ref, out, width)) is not None:
+            return found
+        width *= 4
+    return _align_far(ref, out)
+
+
+class _Band:
+    """Column bit vectors of the diagonals up to ``width`` from the main one.
+
+    Column j has rows j - width to j + width; rows before the first hold the costs |row| + j,
+    which no alignment gains by.
+    """
+
+    def __init__(self, ref: str, out: str, width: int) -> None:
+        self.out, self.width = out, width
+        self.mask = (1 << (2 * width + 1)) - 1
+        self.where = {c: bits << width for c, bits in _where(ref).items()}
+        self.aim = len(ref) - len(out) + width  # the diagonal of the end
+
+    def start(self) -> tuple[int, int]:
+        above = (1 << self.width) - 1
+        return self.mask ^ above, above
+
+    def columns(self, first: int, last: int, up: int, down: int, ups: list[int], downs: list[int], most: int) -> tuple[int, int, int]:
+        """Vectors after columns ``first`` + 1 to ``last``, and by how much the end's diagonal grows; stops above ``most``."""
+        mask, aim = self.mask, 1 << self.aim
+        room = (1 << (last - first + 2 * self.width + 1)) - 1
+        near: dict[str, int] = {}
+        grown = 0
+        for j in range(last - first):
+            c = self.out[first + j]
+            if (bits := near.get(c)) is None:
+                bits = near[c] = self.where.get(c, 0) >> first & room
+            same = bits >> j & mask
+            zero = (((same & up) + up) ^ up | same | down) & mask
+            right = down | (mask ^ (zero | up))
+            left = zero & up
+            if not zero & aim:
+                grown += 1
+                if grown > most:
+                    break
+            zero >>= 1
+            up, down = left | (mask ^ (zero | right)), zero & right
+            ups.append(up)
+            downs.append(down)
+        return up, down, grown
+
+
+def _align_near(ref: str, out: str, width: int) -> tuple[bytes, int] | None:
+    """The alignment, if its distance is less than ``width`` by two at least.
+
+    Then all cells of best alignments and their neighbours lie in the band, so that it
+    decides as the whole matrix does.  Vectors are kept for one block of columns at a time;
+    the others are computed again from the vectors at their start.
+    """
+    n = len(out)
+    most = width - 2 - abs(len(ref) - n)
+    if most < 0:
+        return None
+    band = _Band(ref, out, width)
+    block = max(256, MOST_CELLS // (2 * width + 1))
+    starts, (up, down) = [], band.start()
+    ups: list[int] = []
+    downs: list[int] = []
+    for first in range(0, n, block):
+        starts.append((up, down))
+        ups, downs = [], []
+        up, down, grown = band.columns(first, min(first + block, n), up, down, ups, downs, most)
+        most -= grown
+        if most < 0:
+            return None
+    steps = bytearray(len(ref))
+    i, j, inserted = len(ref), n, 0
+    for number in range(len(starts) - 1, -1, -1):
+        first = number * block
+        if number < len(starts) - 1:
+            ups, downs = [], []
+            band.columns(first, first + block, *starts[number], ups, downs, n)
+        befores = [starts[number][1], *downs]
+        while i and j > first:
+            place = i - j - 1 + width
+            if ups[j - first - 1] >> place & 1:
+                i -= 1
+                steps[i] = 100
+            elif befores[j - first - 1] >> (place + 1) & 1:
+                j -= 1
+                inserted += 1
+            else:
+                i, j = i - 1, j - 1
+                steps[i] = 104 if ref[i] == out[j] else 115
+    steps[:i] = b"d" * i
+    return bytes(steps), inserted + j
+
+
+def _align_far(ref: str, out: str) -> tuple[bytes, int]:
     if len(ref) * len(out) > MOST_CELLS and len(ref) > 1:
         half = len(ref) // 2
         first = np.array(_scores(ref[:half], out))

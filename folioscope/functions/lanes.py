@@ -19,19 +19,19 @@ APOSTROPHES = "'’‘ʼ`´"
 DOUBLE_QUOTES = "“”"
 HYPHENS = "‐‑‒–—―"
 INVISIBLE = "­​‌‍⁠﻿"
-TAG_NAMES = "a b big blockquote br caption center code col colgroup div em figcaption figure font h1 h2 h3 h4 h5 h6 hr i img li mark ol p pre s small span strike strong sub sup table tbody td tfoot th thead tr tt u ul"
-_TAG = re.compile(r"</?(?:" + "|".join(TAG_NAMES.split()) + r")(?:\s[^>\n]{0,80})?\s*/?>", re.IGNORECASE)
+TAG_NAMES = ("a", "b", "big", "blockquote", "br", "caption", "center", "code", "col", "colgroup", "div", "em", "figcaption", "figure", "font", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "mark", "ol", "p", "pre", "s", "small", "span", "strike", "strong", "sub", "sup", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "tt", "u", "ul")
+#: Shapes of markup in the order of their removal, each with what a text that has it contains.
 _MARKUP = (
-    re.compile(r"<\|/?[A-Za-z0-9_]+\|>"),
-    re.compile(r"\[\[\s*\d[\d,\s]*\]\]"),
-    _TAG,
-    re.compile(r"^[ \t]*#{1,6}[ \t]+", re.MULTILINE),
-    re.compile(r"^[ \t]*[-*+][ \t]+", re.MULTILINE),
-    re.compile(r"^[ \t]*[-=_*]{3,}[ \t]*$", re.MULTILINE),
-    re.compile(r"\\[a-zA-Z]+\*?"),
-    re.compile(r"[`*|~{}$\\]"),
+    (("<|",), re.compile(r"<\|/?[A-Za-z0-9_]+\|>")),
+    (("[[",), re.compile(r"\[\[\s*\d[\d,\s]*\]\]")),
+    (("<",), re.compile(r"</?(?:" + "|".join(TAG_NAMES) + r")(?:\s[^>\n]{0,80})?\s*/?>", re.IGNORECASE)),
+    (("#",), re.compile(r"^[ \t]*#{1,6}[ \t]+", re.MULTILINE)),
+    (("- ", "-\t", "* ", "*\t", "+ ", "+\t"), re.compile(r"^[ \t]*[-*+][ \t]+", re.MULTILINE)),
+    (("-", "=", "_", "*"), re.compile(r"^[ \t]*[-=_*]{3,}[ \t]*$", re.MULTILINE)),
+    (("\\",), re.compile(r"\\[a-zA-Z]+\*?")),
 )
-_CHARACTERS = {**dict.fromkeys(map(ord, APOSTROPHES), "'"), **dict.fromkeys(map(ord, DOUBLE_QUOTES), '"'), **dict.fromkeys(map(ord, HYPHENS), "-"), **dict.fromkeys(map(ord, INVISIBLE))}
+_MARKS = "`*|~{}$\\"
+_UNIFIED = {"'": APOSTROPHES, '"': DOUBLE_QUOTES, "-": HYPHENS, "": INVISIBLE}
 _LINE_HYPHEN = re.compile(r"-\s*\n\s*")
 _PUNCTUATION = re.compile(r"[^\w\s�]")
 MOST_SPAN = 50
@@ -44,8 +44,18 @@ _RULE = re.compile(r":?-{2,}:?")
 
 def strip_markup(text: str | None) -> str:
     text = text or ""
-    for pattern in _MARKUP:
-        text = pattern.sub(" ", text)
+    for signs, pattern in _MARKUP:
+        if any(sign in text for sign in signs):
+            text = pattern.sub(" ", text)
+    for mark in _MARKS:
+        text = text.replace(mark, " ")
+    return text
+
+
+def unify_characters(text: str) -> str:
+    for one, alike in _UNIFIED.items():
+        for c in alike:
+            text = text.replace(c, one)
     return text
 
 
@@ -154,7 +164,7 @@ def diplomatic(text: str | None) -> str:
 
 
 def reading(text: str | None) -> str:
-    text = unicodedata.normalize("NFKC", strip_markup(regroup_tables(text or ""))).translate(_CHARACTERS)
+    text = unify_characters(unicodedata.normalize("NFKC", strip_markup(regroup_tables(text or ""))))
     return " ".join(_LINE_HYPHEN.sub("", text).casefold().split())
 
 

@@ -11,6 +11,7 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,11 +71,20 @@ _RAW = [f"{k}_{x}" for k in C.COUNT_KEYS for x in "sdih"] + [c for pair in C.SUP
 _PAGE = T.StructType([*(T.StructField(c, T.LongType()) for c in _RAW), T.StructField("gt_script", T.StringType()), T.StructField("script_match_raw", T.DoubleType()), T.StructField("regions", T.StringType())])
 
 
+#: Rows of a page follow each other after the join, so its reference texts are normalized once.
+_diplomatic, _reading = lru_cache(64)(lanes.diplomatic), lru_cache(64)(lanes.reading)
+
+
+@lru_cache(64)
+def _token_counts(text: str | None) -> Counter:
+    return Counter(lanes.words(_reading(text)))
+
+
 def page_counts(ref: str, body: str | None, furniture: str | None, regions: list | None, out: str) -> dict:
     """All counts of one page; body defaults to the whole text."""
     body = ref if body is None else body
     made: dict[str, object] = {}
-    forms = {"dip": lanes.diplomatic, "read": lanes.reading}
+    forms = {"dip": _diplomatic, "read": _reading}
     out_forms = {k: f(out) for k, f in forms.items()}
     for part, text in (("body", body), ("full", ref)):
         for lane, form in forms.items():
@@ -83,16 +93,15 @@ def page_counts(ref: str, body: str | None, furniture: str | None, regions: list
             else:
                 counts = align.edit_counts(form(text), out_forms[lane])
             made |= {f"cer_{part}_{lane}_{x}": n for x, n in zip("sdih", counts, strict=True)}
-    body_words, all_words = (Counter(lanes.tokens(t)) for t in (body, ref))
-    out_words = Counter(lanes.words(out_forms["read"]))
-    furniture_words = multiset.legible(Counter(lanes.tokens(furniture)))
+    body_words, all_words, out_words = (_token_counts(t) for t in (body, ref, out))
+    furniture_words = multiset.legible(_token_counts(furniture))
     made["recall_matched"], made["recall_reference"] = multiset.recall_support(multiset.legible(body_words), out_words)
     made["over_extraction_extra"], made["over_extraction_output"] = multiset.extra_support(all_words, out_words)
     made["furniture_global_token_recall_matched"], made["furniture_global_token_recall_reference"] = multiset.recall_support(furniture_words, out_words)
     made["gt_script"], made["script_match_raw"] = script.dominant_script(ref), script.script_match(out, ref)
     labels: dict[str, Counter] = {}
     for r in regions or ():
-        labels.setdefault(r["label"] or "?", Counter()).update(multiset.legible(Counter(lanes.tokens(r["text"]))))
+        labels.setdefault(r["label"] or "?", Counter()).update(multiset.legible(_token_counts(r["text"])))
     found = {}
     for label in sorted(labels):
         matched, reference = multiset.recall_support(labels[label], out_words)
