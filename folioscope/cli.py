@@ -53,8 +53,9 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_board(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = parts.union_globs(spark, a.scorecards)
-    validate.require(rows, require_complete=not a.allow_missing)
     truth = _truth(spark, a.truth) if a.truth else None
+    expected = None if truth is None else truth.select(F.col("page_key").alias("page_id"))
+    validate.require(rows, require_complete=not a.allow_missing, expected=expected)
     provenance = {"report_schema": C.REPORT_SCHEMA_VERSION, "scorecard_schema": C.SCORECARD_SCHEMA_VERSION, "norm_version": C.NORM_VERSION, "scorer_version": C.SCORER_VERSION, "score": score.score_provenance(), "page_count": rows.select("page_id").distinct().count()}
     board = report.leaderboard(report.model_cards(rows, truth), provenance)
     report.write_leaderboard(board, a.out)

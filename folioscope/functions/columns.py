@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,11 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(normalized, NOT_TOKEN, " "), f"{SPACE}+", -1), lambda t: t != "")
 
 
+def token_text(normalized: Column) -> Column:
+    """The same tokens as one text with single spaces between."""
+    return F.regexp_replace(F.regexp_replace(normalized, NOT_TOKEN, " "), f"{SPACE}+", " ")
+
+
 def plain_reading(text: Column) -> Column:
     """The reading lane of texts without markup, ligatures or special characters: ASCII case and spaces only."""
     return strip(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
@@ -82,6 +89,13 @@ def short_code(label: Column) -> Column:
     return F.coalesce(F.try_element_at(known, code), F.lit("und"))
 
 
+def iso_name(label: Column) -> Column:
+    """``deu_Latn`` as ``German (deu_Latn)``; a label of an unknown code stays as it is."""
+    names = F.create_map(*(F.lit(x) for pair in C.LANGUAGE_NAMES.items() for x in pair))
+    name = F.try_element_at(names, F.split_part(label, F.lit("_"), F.lit(1)))
+    return F.when(name.isNotNull(), F.concat(name, F.lit(" ("), label, F.lit(")"))).otherwise(label)
+
+
 def slug(text: Column, limit: int = 80) -> Column:
     """File name part: other characters become dashes."""
     clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
@@ -113,10 +127,55 @@ def page_set_fingerprint(df: DataFrame, key: str = "page_key") -> str:
 
 
 def fingerprint_column(key: Column) -> Column:
-    """The same as an aggregate, for groups that fit in one row."""
+    """The same as an aggregate, for groups that fit in one row (see ``group_fingerprints``)."""
     return F.sha2(F.to_json(F.sort_array(F.collect_list(key))), 256)
 
 
+def group_fingerprints(df: DataFrame, by: str, key: str = "page_key") -> DataFrame:
+    """(by, fingerprint) of groups of any size.
+
+    Keys are ranged over tasks in order; each task writes the hash function's input of its
+    part of a group as one piece of JSON, and a group's pieces are hashed one after the other,
+    so no row holds a group.
+    """
+    kind = dict(df.dtypes)[by]
+
+    def pieces(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            names, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(names):
+                to = at
+                while to < len(names) and names[to] == names[at]:
+                    to += 1
+                text = ",".join(json.dumps(x, ensure_ascii=False) for x in keys[at:to])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([part]), pa.array([k]), pa.array([text])], ["by", "part", "k", "text"])
+                at, k = to, k + 1
+
+    def digests(batches):
+        name, running, begun = None, None, False
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                value = batch.column(0)[i].as_py()
+                if not begun or value != name:
+                    if begun:
+                        running.update(b"]")
+                        yield pa.RecordBatch.from_arrays([pa.array([name], batch.column(0).type), pa.array([running.hexdigest()])], ["by", "fingerprint"])
+                    name, begun, running = value, True, hashlib.sha256(b"[")
+                else:
+                    running.update(b",")
+                running.update(text.encode())
+        if begun:
+            running.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([name], batch.column(0).type), pa.array([running.hexdigest()])], ["by", "fingerprint"])
+
+    ranged = df.select(F.col(by).alias("by"), F.col(key).cast("string").alias("key")).repartitionByRange("by", "key").sortWithinPartitions("by", "key")
+    made = ranged.mapInArrow(pieces, f"by {kind}, part int, k int, text string")
+    # The pieces of a group meet in one task, which holds one at a time.
+    return made.repartition("by").sortWithinPartitions("by", "part", "k").mapInArrow(digests, f"by {kind}, fingerprint string").withColumnRenamed("by", by)
+
+
 def stable_json(value: object) -> str:
     """Canonical JSON: sorted keys, compact, unescaped."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))

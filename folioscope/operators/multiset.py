@@ -1,9 +1,13 @@
-"""Multiset comparisons of token columns: joins on (row, token), and wildcard matching."""
+"""Multiset comparisons of token texts within their rows, token totals, and wildcard matching."""
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +19,39 @@ def token_counts(df: DataFrame, keys: list[str], tokens: Column | str, count: st
     return df.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias(count))
 
 
-def overlap(ref: DataFrame, out: DataFrame, keys: list[str], matched: str = "matched", reference: str = "reference", output: str = "output") -> DataFrame:
-    """(keys, matched, reference, output) of two multiset tables.
+def supports(pages: DataFrame, keys: list[str], ref: Column, out: Column) -> DataFrame:
+    """(keys, matched, reference, output) of rows that hold both texts, as tokens with one space between.
 
-    Both sides are summed up before they meet: one shuffle of (keys, token) groups.
+    Tokens are counted where their row is: what is shuffled later is three numbers a row.
     """
-    both = ref.select(*keys, "token", F.col("n").alias("r"), F.lit(0).cast("long").alias("o")).unionByName(out.select(*keys, "token", F.lit(0).cast("long").alias("r"), F.col("n").alias("o")))
-    joined = both.groupBy(*keys, "token").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
-    return joined.groupBy(*keys).agg(F.sum(F.least("r", "o")).alias(matched), F.sum("r").alias(reference), F.sum("o").alias(output))
+    kinds = dict(pages.dtypes)
+    names = [*keys, "matched", "reference", "output"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "matched long", "reference long", "output long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_token_codes(batch.column(len(keys) + side)) for side in (0, 1)]
+            sizes = [np.bincount(row, minlength=batch.num_rows) for row, _ in found]
+            # Equal tokens of both sides get equal codes.
+            both = pa.chunked_array([tokens for _, tokens in found]).dictionary_encode().unify_dictionaries()
+            codes = [c.indices.to_numpy().astype(np.int64) for c in both.chunks]
+            width = max((len(c.dictionary) for c in both.chunks), default=0) + 1
+            a, b = (np.unique(row * width + code, return_counts=True) for (row, _), code in zip(found, codes, strict=True))
+            common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+            matched = np.bincount(common // width, weights=np.minimum(a[1][i], b[1][j]), minlength=batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(matched), pa.array(sizes[0]), pa.array(sizes[1])], names)
+
+    return pages.select(*keys, ref.alias("__ref"), out.alias("__out")).mapInArrow(run, schema)
+
+
+def _token_codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each token, and the tokens."""
+    lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    tokens = lists.flatten()
+    row = np.repeat(np.arange(len(column)), sizes)
+    some = pc.not_equal(tokens, "")
+    return row[some.to_numpy(zero_copy_only=False)], tokens.filter(some)
 
 
 def legible(tokens: Counter) -> Counter:

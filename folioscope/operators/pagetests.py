@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import align, lanes
+from folioscope.operators import sampling
 
 # Windows in words, their stride, and what makes a snippet usable.
 WINDOWS, STRIDE = (7, 11), 4
@@ -76,6 +77,30 @@ def only_place(snippet: str, page: str, diffs: int) -> int | None:
     return starts[0] if len(starts) == 1 else None
 
 
+def _similar(a: str, b: str) -> float:
+    """1 less the share of both texts' characters that are in no longest common subsequence."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full  # zero bits: matched places
+    for c in b:
+        hit = free & where.get(c, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return 2 * (len(a) - free.bit_count()) / (len(a) + len(b)) if a or b else 1.0
+
+
+def findable(snippet: str, page: str, threshold: float, near: int | None = None) -> bool:
+    """Some window of the page as long as the snippet (shorter at the page's ends) is similar to it by ``threshold``.
+
+    Windows round ``near`` are tried first, as that is where a match was found.
+    """
+    size = len(snippet)
+    if near is not None and any(_similar(snippet, page[s : s + size]) >= threshold for s in range(max(0, near - 3), near + 4)):
+        return True
+    return any(_similar(snippet, page[max(0, s) : s + size]) >= threshold for s in range(1 - size, len(page)))
+
+
 def spread(items: list, k: int) -> list:
     return items if len(items) <= k else [items[int(i * (len(items) / k))] for i in range(k)]
 
@@ -95,17 +120,17 @@ def page_tests(page: str, regions: list[dict], share: float = EDIT_SHARE) -> lis
     norm = lanes.reading(page)
     good: list[tuple[dict, list[tuple[dict, int]]]] = []
     for region in regions:
-        places = [(s, at) for s in snippets(region["text"], share) if (at := only_place(s["norm"], norm, s["diffs"])) is not None]
+        places = [(s, at) for s in snippets(region["text"], share) if (at := only_place(s["norm"], norm, s["diffs"])) is not None and findable(s["norm"], norm, s["threshold"], at)]
         if places:
             good.append((region, places))
     rows = []
     for region, s in spread([(r, s) for r, places in good for s, _ in places], PRESENCE):
-        rows.append({"test_type": "presence", "basis": "presence", "region_label": region["label"], "target": s["raw"], "target_norm": s["norm"], "target_max_diffs": s["diffs"], "target_threshold": s["threshold"]})
+        rows.append({"test_type": "presence", "basis": "presence", "region_label": region["label"], "target": s["raw"], "target_norm": s["norm"], "target_max_diffs": s["diffs"], "target_threshold": s["threshold"], "context": s["context"]})
 
     def order(basis: str, a: tuple, b: tuple) -> dict:
         row = {"test_type": "order", "basis": basis}
         for name, (region, (s, at)) in (("before", a), ("after", b)):
-            row |= {name: s["raw"], f"{name}_norm": s["norm"], f"{name}_max_diffs": s["diffs"], f"{name}_threshold": s["threshold"], f"{name}_region_label": region["label"], f"{name}_pos": at}
+            row |= {name: s["raw"], f"{name}_norm": s["norm"], f"{name}_max_diffs": s["diffs"], f"{name}_threshold": s["threshold"], f"{name}_region_label": region["label"], f"{name}_pos": at, f"{name}_context": s["context"]}
         return row
 
     inside = [(r, p[0], p[-1]) for r, p in good if len(p) > 1 and p[-1][0]["start"] - (p[0][0]["start"] + max(WINDOWS)) >= MIN_GAP and p[0][1] < p[-1][1]]
@@ -118,8 +143,8 @@ def page_tests(page: str, regions: list[dict], share: float = EDIT_SHARE) -> lis
     return rows
 
 
-_SIDE = "{0} string, {0}_norm string, {0}_max_diffs int, {0}_threshold double, {0}_region_label string, {0}_pos int"
-SCHEMA = "page_key string, volume string, test_type string, basis string, region_label string, target string, target_norm string, target_max_diffs int, target_threshold double, " + _SIDE.format("before") + ", " + _SIDE.format("after")
+_SIDE = "{0} string, {0}_norm string, {0}_max_diffs int, {0}_threshold double, {0}_region_label string, {0}_pos int, {0}_context string"
+SCHEMA = "page_key string, volume string, test_type string, basis string, region_label string, target string, target_norm string, target_max_diffs int, target_threshold double, context string, " + _SIDE.format("before") + ", " + _SIDE.format("after")
 
 
 def generate(pages: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
@@ -143,3 +168,25 @@ def with_ids(tests: DataFrame, prefix: str = "t") -> DataFrame:
 
     number = F.row_number().over(Window.partitionBy("page_key").orderBy("test_type", "basis", F.coalesce("target_norm", "before_norm"), F.coalesce("after_norm", F.lit(""))))
     return tests.withColumn("test_id", F.concat_ws("-", F.lit(prefix), "page_key", number.cast("string")))
+
+
+def eyeball_report(tests: DataFrame, sample: int, seed: int = 0) -> str:
+    """A Markdown sample for reviewers: two thirds presence tests, the rest order tests, the snippet marked once in its context."""
+    sizes = {r["test_type"]: r["n"] for r in tests.groupBy("test_type").agg(F.count("*").alias("n")).collect()}
+    pages = tests.select("page_key").distinct().count()
+    presence = min(sample * 2 // 3, sizes.get("presence", 0))
+    wanted = {"presence": presence, "order": min(sample - presence, sizes.get("order", 0))}
+    out = ["# Page tests", "", f"{sum(sizes.values())} tests of {pages} pages ({', '.join(f'{n} {k}' for k, n in sorted(sizes.items()))})", ""]
+    mark = lambda context, raw: context.replace(raw, f"《{raw}》", 1)
+    for kind, n in wanted.items():
+        if not n:
+            continue
+        out += [f"## {kind}", ""]
+        drawn = sampling.shuffled(tests.where(F.col("test_type") == kind), seed, "test_id").limit(n)
+        for r in drawn.collect():
+            if kind == "presence":
+                out.append(f"- **{r['page_key']}** {r['volume']} {r['region_label']}: {mark(r['context'], r['target'])}")
+            else:
+                out.append(f"- **{r['page_key']}** {r['volume']} {r['basis']}: {mark(r['before_context'], r['before'])} | {mark(r['after_context'], r['after'])}")
+        out.append("")
+    return "\n".join(out)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ def support_rate(rows: DataFrame, pair: tuple[str, str], by: list[str], empty: f
     return found.withColumn("rate", F.coalesce(columns.rate(F.col(pair[0]), F.col(pair[1])), F.lit(empty).cast("double")))
 
 
+def percentile(values: Column, share: float) -> Column:
+    """Linear interpolation at (n - 1) * share."""
+    return F.percentile(values, F.lit(share))
+
+
 def median(axis: str) -> Column:
     return columns.round4(F.median(F.when(~F.isnan(axis), F.col(axis))))
 
@@ -68,37 +74,38 @@ def region_recall(rows: DataFrame, by: list[str]) -> DataFrame:
     return parsed.groupBy(*by, "label").agg(F.sum("r.matched").alias("matched"), F.sum("r.reference").alias("reference")).withColumn("rate", columns.rate(F.col("matched"), F.col("reference")))
 
 
-def bootstrap_draws(units: int, replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = 0) -> list[list[int]]:
-    """How often each unit is drawn in each replicate."""
+def bootstrap_draws(units: int, replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = 0) -> Iterator[list[int]]:
+    """How often each unit is drawn, replicate by replicate; one replicate is held at a time."""
     rng = random.Random(seed)
-    out = []
     for _ in range(replicates):
         weights = [0] * units
         for _ in range(units):
             weights[rng.randrange(units)] += 1
-        out.append(weights)
-    return out
+        yield weights
 
 
-def bootstrap_ci(rows: DataFrame, key: str = "cer_body_read", order: str = "page_id", replicates: int = C.BOOTSTRAP_REPLICATES, alpha: float = C.BOOTSTRAP_ALPHA, seed: int = 0) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, key: str = "cer_body_read", order: str = "page_id", replicates: int = C.BOOTSTRAP_REPLICATES, alpha: float = C.BOOTSTRAP_ALPHA, seed: int = 0, pools: list[Column] | None = None, statistic: Column | None = None) -> DataFrame:
     """(model, lo, hi): cluster bootstrap over volumes, in order of their first page.
 
-    A model with a null volume, or with one only, is resampled by page.  Counts are summed
-    per unit first; the draws (replicates x units) are a table that each model's units join,
-    so replicates cost one weighted sum per unit.
+    ``statistic`` is any column over sums named by ``pools`` (sums of rows, with names); without
+    them it is the pooled rate of ``key``.  A model with a null volume, or with one only, is
+    resampled by page.  Sums are taken per unit first; the draws (replicates x units) are a
+    table that each model's units join, so replicates cost one weighted sum per unit.
     """
+    pools = count_pool(key) if pools is None else pools
+    statistic = pooled_rate(key) if statistic is None else statistic
     clean = rows.where(_clean())
     per_model = clean.groupBy("model").agg(F.count_distinct("volume").alias("v"), F.max(F.col("volume").isNull()).alias("loose"))
     unit = F.when((F.col("v") > 1) & ~F.col("loose"), F.col("volume")).otherwise(F.col(order))
-    units = clean.join(per_model, "model").withColumn("unit", unit.cast("string")).groupBy("model", "unit").agg(F.min(order).alias("first"), *count_pool(key))
+    units = clean.join(F.broadcast(per_model), "model").withColumn("unit", unit.cast("string")).groupBy("model", "unit").agg(F.min(order).alias("first"), *pools)  # a row a model
+    names = [c for c in units.columns if c not in ("model", "unit", "first")]
     # Few rows a model: its volumes, or its pages.
     numbered = units.select("*", F.row_number().over(_window("model", "first", "unit")).alias("u"), F.count("*").over(_window("model")).alias("units"))
     sizes = [r["units"] for r in numbered.select("units").distinct().collect()]
     draws = _draw_table(rows.sparkSession, sizes, replicates, seed)
-    sums = numbered.join(draws, ["units", "u"]).groupBy("model", "replicate").agg(*(F.sum(F.col(f"{key}_{x}") * F.col("times")).cast("long").alias(f"{key}_{x}") for x in "sdih"))
-    rates = sums.withColumn("rate", pooled_rate(key)).where("rate is not null")
-    ends = rates.groupBy("model").agg(*(columns.round4(F.percentile("rate", F.lit(p))).alias(n) for n, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))))
-    return ends
+    sums = numbered.join(draws, ["units", "u"]).groupBy("model", "replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in names))
+    rates = sums.withColumn("rate", statistic).where("rate is not null")
+    return rates.groupBy("model").agg(*(columns.round4(percentile(F.col("rate"), p)).alias(n) for n, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))))
 
 
 def _window(part: str, *order: str):
@@ -108,19 +115,24 @@ def _window(part: str, *order: str):
     return w.orderBy(*order) if order else w
 
 
-def _draw_table(spark, sizes: list[int], replicates: int, seed: int) -> DataFrame:
-    """(units, u, replicate, times); large unit counts are drawn on the executors, a replicate a row."""
-    def draw(pdfs):
-        import pandas as pd
+_DRAWS = "units long, u long, replicate long, times long"
+
 
-        for pdf in pdfs:
-            for units in pdf["units"]:
-                made = bootstrap_draws(int(units), replicates, seed)
-                for first in range(0, replicates, 50):
-                    yield pd.DataFrame([(units, u + 1, r, n) for r in range(first, min(first + 50, replicates)) for u, n in enumerate(made[r]) if n], columns=["units", "u", "replicate", "times"])
+def _draw_table(spark, sizes: list[int], replicates: int, seed: int) -> DataFrame:
+    """(units, u, replicate, times), drawn on the executors; a task holds one replicate of one unit count."""
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for units in batch.column(0).to_pylist():
+                for r, weights in enumerate(bootstrap_draws(units, replicates, seed)):
+                    times = np.array(weights, np.int64)
+                    u = np.flatnonzero(times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), units)), pa.array(u + 1), pa.array(np.full(len(u), r)), pa.array(times[u])], ["units", "u", "replicate", "times"])
 
     table = spark.createDataFrame([(int(s),) for s in sizes], "units long")
-    return table.mapInPandas(draw, "units long, u long, replicate long, times long")
+    return table.mapInArrow(draw, _DRAWS)
 
 
 def missing_pages(rows: DataFrame, truth: DataFrame) -> DataFrame:
@@ -128,7 +140,9 @@ def missing_pages(rows: DataFrame, truth: DataFrame) -> DataFrame:
     models = sorted(r[0] for r in rows.select("model").distinct().collect())  # a few names
     expected = truth.select(F.explode(F.array(*map(F.lit, models)) if models else F.array().cast("array<string>")).alias("model"), F.col("page_key").alias("page_id"))
     gone = expected.join(rows.select("model", "page_id"), ["model", "page_id"], "left_anti")
-    return gone.groupBy("model").agg(F.count("*").alias("missing"), F.slice(F.array_sort(F.collect_list("page_id")), 1, 3).alias("examples"))
+    # The rank limit is applied before the shuffle too, so a task passes three ids a model on.
+    first = gone.withColumn("r", F.row_number().over(_window("model", "page_id"))).where("r <= 3").groupBy("model").agg(F.array_sort(F.collect_list("page_id")).alias("examples"))
+    return gone.groupBy("model").agg(F.count("*").alias("missing")).join(first, "model")
 
 
 def extra_pages(rows: DataFrame, truth: DataFrame) -> DataFrame:

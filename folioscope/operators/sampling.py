@@ -63,9 +63,18 @@ def volume_spread_sample(pages: DataFrame, n: int, seed: int = 0, stratum: str =
     by_stratum = quotas({s: sum(v.values()) for s, v in strata.items()}, n, guarantee)
     wanted = [(s, v, q) for s, volumes in strata.items() for v, q in volume_quotas(volumes, by_stratum[s], seed).items() if q]
     table = pages.sparkSession.createDataFrame(wanted, f"__s {dict(pages.dtypes)[stratum]}, __v {dict(pages.dtypes)[volume]}, __q long")
-    rank = F.row_number().over(Window.partitionBy(stratum, volume).orderBy(F.xxhash64(F.lit(seed), key), key))
-    joined = pages.withColumn("__r", rank).join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("__s")) & F.col(volume).eqNullSafe(F.col("__v")))  # as many rows as volumes
-    return joined.where("__r <= __q").drop("__r", "__s", "__v", "__q")
+    # Ranks need ids only, and the greatest quota cuts every task's rows before they are shuffled;
+    # the pages themselves are joined last.
+    rank = F.row_number().over(Window.partitionBy("__s", "__v").orderBy(F.xxhash64(F.lit(seed), key), key))
+    ranked = pages.select(key, F.col(stratum).alias("__s"), F.col(volume).alias("__v")).withColumn("__r", rank).where(F.col("__r") <= max(q for _, _, q in wanted))
+    table = table.withColumnsRenamed({"__s": "__a", "__v": "__b"})
+    chosen = ranked.join(F.broadcast(table), F.col("__s").eqNullSafe(F.col("__a")) & F.col("__v").eqNullSafe(F.col("__b"))).where("__r <= __q")  # as many rows as volumes
+    return pages.join(chosen.select(key), key, "left_semi")
+
+
+def shuffled(rows: DataFrame, seed: int, key: str = "page_key") -> DataFrame:
+    """Rows in a seeded order that does not depend on how they are dealt: by the MD5 of seed and key."""
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
 
 
 def shard(rows: DataFrame, rank: int, world: int, order: str = "row_ord") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from folioscope import constants as C
 from folioscope.functions import align, columns, lanes, script
-from folioscope.operators import multiset
+from folioscope.operators import multiset, validate
 
 
 @dataclass(frozen=True)
@@ -146,17 +146,19 @@ def score_provenance() -> dict:
 
 def benchmark_provenance(truth: DataFrame, dataset_id: str, requested: str | None, resolved: str | None, threshold: int = C.STRATUM_THRESHOLD) -> dict:
     """What a ground-truth table is: page count, strata and page set fingerprint."""
-    strata = {r["s"]: r["n"] for r in truth.groupBy(columns.stratum(F.col("text"), threshold).alias("s")).agg(F.count("*").alias("n")).collect()}
+    strata = dict.fromkeys(C.STRATA, 0) | {r["s"]: r["n"] for r in truth.groupBy(columns.stratum(F.col("text"), threshold).alias("s")).agg(F.count("*").alias("n")).collect()}
     if "sample_stratum" in truth.columns:
         drift = truth.where(F.col("sample_stratum").isNotNull() & (F.col("sample_stratum") != columns.stratum(F.col("text"), threshold)))
         if not drift.isEmpty():
             raise ValueError("declared sample strata differ from the texts' own")
-    sampler = [c for c in truth.columns if c.startswith("sampler_")]
     found = {}
-    if sampler:
+    if sampler := [c for c in C.SAMPLER_FIELDS if c in truth.columns]:
+        if len(sampler) < len(C.SAMPLER_FIELDS):
+            raise ValueError(f"sampler provenance lacks {', '.join(c for c in C.SAMPLER_FIELDS if c not in sampler)}")
         rows = truth.select(*sampler).distinct().limit(2).collect()
-        if len(rows) != 1 or any(v is None for v in rows[0]):
-            raise ValueError("sampler provenance must be complete and uniform")
-        found = {"sampler_provenance": rows[0].asDict()}
+        if len(rows) != 1:
+            raise ValueError("sampler provenance must be uniform")
+        found = {"sampler_provenance": rows[0].asDict() | {"sample_stratum_threshold": threshold}}
+        validate.check_sampler(found["sampler_provenance"], threshold)
     fingerprint = columns.page_set_fingerprint(truth)
-    return {"dataset_id": dataset_id, "requested_revision": requested, "resolved_revision": resolved, "dataset_fingerprint": f"local:{fingerprint}", "expected_page_count": sum(strata.values()), "full_page_set_fingerprint": fingerprint, "sample_stratum_threshold": threshold, "expected_stratum_counts": dict(sorted(strata.items()))} | found
+    return {"dataset_id": dataset_id, "requested_revision": requested, "resolved_revision": resolved or f"local:{fingerprint}", "dataset_fingerprint": f"local:{fingerprint}", "expected_page_count": sum(strata.values()), "full_page_set_fingerprint": fingerprint, "sample_stratum_threshold": threshold, "expected_stratum_counts": dict(sorted(strata.items()))} | found

@@ -7,6 +7,8 @@ the order of the checks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +84,8 @@ def table_violations(rows: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         out.append(found.select(F.lit(100 + len(out)).alias("rank"), F.lit(check).alias("check"), (none if model is None else model.cast("string")).alias("model"), (none if page is None else page.cast("string")).alias("page_id"), F.lit(message).alias("message")))
 
-    add("duplicate", rows.groupBy("model", "page_id").count().where("count > 1"), "a page twice for a model", F.col("model"), F.col("page_id"))
-    for name in [c for c in ("norm_version", "scorer_version", "scorecard_schema_version", "postproc_version", "score_provenance", "benchmark_provenance") if c in rows.columns and c != "postproc_version"]:
+    add("duplicate", repeated(rows, ["model", "page_id"]), "a page twice for a model", F.col("model"), F.col("page_id"))
+    for name in [c for c in ("norm_version", "scorer_version", "scorecard_schema_version", "postproc_version", "score_provenance", "benchmark_provenance") if c in rows.columns]:
         add(f"mixed {name}", rows.agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b"), f"{name} differs between rows")
     if "run_provenance" in rows.columns:
         add("mixed run", rows.groupBy("model").agg(F.min("run_provenance").alias("a"), F.max("run_provenance").alias("b")).where("a <> b"), "one model, several runs", F.col("model"))
@@ -97,41 +99,129 @@ def table_violations(rows: DataFrame) -> DataFrame:
     return made
 
 
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) of the keys that occur more than once."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _whole(value: object, least: int | None = 0) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and (least is None or value >= least)
+
+
+def _text(value: object) -> bool:
+    return isinstance(value, str) and bool(value.strip())
+
+
+def check_sampler(sampler: object, threshold: int) -> None:
+    """All fields of a sampler's provenance, and nothing else, each of its type."""
+    if not isinstance(sampler, dict) or set(sampler) != {*C.SAMPLER_FIELDS, "sample_stratum_threshold"}:
+        raise ValueError("sampler provenance has missing or unknown fields")
+    good = {"sampler_seed": lambda v: _whole(v, None), "sampler_requested_n": _whole}
+    for field in C.SAMPLER_FIELDS:
+        if not good.get(field, _text)(sampler[field]):
+            raise ValueError(f"bad {field} in the sampler provenance")
+    if sampler["sample_stratum_threshold"] != threshold:
+        raise ValueError("sampler and benchmark have different stratum thresholds")
+
+
 def check_benchmark(benchmark: dict) -> None:
     missing = [f for f in C.BENCHMARK_FIELDS if f not in benchmark]
     if missing:
         raise ValueError(f"benchmark provenance lacks {', '.join(missing)}")
-    count, strata = benchmark["expected_page_count"], benchmark["expected_stratum_counts"]
-    if isinstance(count, bool) or not isinstance(count, int) or count <= 0:
+    count, strata, threshold = (benchmark[f] for f in ("expected_page_count", "expected_stratum_counts", "sample_stratum_threshold"))
+    if not _whole(count, 1):
         raise ValueError("expected_page_count must be a whole number above 0")
-    if set(strata) - set(C.STRATA) or sum(strata.values()) != count:
-        raise ValueError("expected_stratum_counts must add up to the page count")
-    for field in ("dataset_fingerprint", "full_page_set_fingerprint"):
-        if not benchmark[field]:
+    if not _whole(threshold):
+        raise ValueError("sample_stratum_threshold must be a whole number of at least 0")
+    if not isinstance(strata, dict) or set(strata) != set(C.STRATA) or not all(map(_whole, strata.values())) or sum(strata.values()) != count:
+        raise ValueError("expected_stratum_counts must give every stratum and add up to the page count")
+    for field in ("dataset_id", "resolved_revision", "dataset_fingerprint", "full_page_set_fingerprint"):
+        if not _text(benchmark[field]):
             raise ValueError(f"{field} must not be empty")
+    if benchmark["requested_revision"] is not None and not _text(benchmark["requested_revision"]):
+        raise ValueError("requested_revision must be null or not empty")
+    if benchmark.get("sampler_provenance") is not None:
+        check_sampler(benchmark["sampler_provenance"], threshold)
+
+
+def benchmark_violations(rows: DataFrame, benchmark: dict, expected: DataFrame | None = None) -> DataFrame:
+    """(rank, check, model, page_id, message) of models that differ from the benchmark.
+
+    Counts per model and stratum are compared with the expected ones.  With ``expected``
+    (page_id) the page sets are compared by anti-joins; without it, by their fingerprints.
+    """
+    n, strata = benchmark["expected_page_count"], benchmark["expected_stratum_counts"]
+    none = F.lit(None).cast("string")
+    found = []
+
+    def add(check: str, df: DataFrame, message: Column, page: Column = none) -> None:
+        found.append(df.select(F.lit(200 + len(found)).alias("rank"), F.lit(check).alias("check"), F.col("model").cast("string").alias("model"), page.alias("page_id"), message.alias("message")))
+
+    add("benchmark threshold", rows.where(~F.col("sample_stratum_threshold").eqNullSafe(F.lit(benchmark["sample_stratum_threshold"]))), F.lit("the row's threshold is not the benchmark's"), F.col("page_id").cast("string"))
+    sums = rows.groupBy("model").agg(F.count("*").alias("n"), *(F.count_if(F.col("sample_stratum") == s).alias(s) for s in C.STRATA))
+    over, other = F.lit(False), F.lit(False)
+    for s in C.STRATA:
+        over, other = over | (F.col(s) > strata[s]), other | (F.col(s) != strata[s])
+    add("stratum counts", sums.where(over | ((F.col("n") == n) & other)), F.lit("stratum counts are not the benchmark's"))
+    if expected is not None:
+        wanted = expected.select(F.col("page_id").alias("page_key"))
+        add("missing pages", report.missing_pages(rows, wanted), F.concat(F.lit("lacks "), F.col("missing").cast("string"), F.lit(" pages, e.g. "), F.array_join("examples", ", ")))
+        add("extra pages", report.extra_pages(rows, wanted), F.concat(F.lit("has "), F.col("extra").cast("string"), F.lit(" pages that are not expected")))
+    else:
+        prints = columns.group_fingerprints(rows, "model", "page_id").join(sums.select("model", "n"), "model")
+        add("page set", prints.where((F.col("n") != n) | (F.col("fingerprint") != benchmark["full_page_set_fingerprint"])), F.concat(F.lit("has "), F.col("n").cast("string"), F.lit(f" pages instead of the benchmark's {n}, or others")))
+    made = found[0]
+    for more in found[1:]:
+        made = made.unionByName(more)
+    return made
+
 
+def check_expected(expected: DataFrame, benchmark: dict) -> None:
+    """Explicit expected ids: known, unique, and the benchmark's."""
+    if not expected.where("page_id is null").isEmpty():
+        raise ValueError("an expected page id is null")
+    if not repeated(expected, ["page_id"]).isEmpty():
+        raise ValueError("an expected page id occurs twice")
+    if expected.count() != benchmark["expected_page_count"] or columns.page_set_fingerprint(expected, "page_id") != benchmark["full_page_set_fingerprint"]:
+        raise ValueError("the expected page ids are not the benchmark's")
 
-def require(rows: DataFrame, require_complete: bool = True) -> None:
-    """Raise the first violation; row checks come before table checks."""
+
+def require(rows: DataFrame, require_complete: bool = True, expected: DataFrame | None = None) -> None:
+    """Raise the first violation: row checks, then table checks, then those against the benchmark.
+
+    The benchmark is what ``benchmark_provenance`` of the rows says (checked to be one value);
+    rows without that column are compared with each other only.
+    """
     if rows.isEmpty():
         raise ValueError("there are no scorecards")
     missing = [c for c in REQUIRED if c not in rows.columns]
     if missing:
         raise ValueError(f"scorecards lack {', '.join(missing)}")
-    for found in (violations(rows), table_violations(rows)):
+    complete = {"page sets", "page set", "missing pages", "extra pages"}
+
+    def refuse(found: DataFrame) -> None:
         if not require_complete:
-            found = found.where(F.col("check") != "page sets")
+            found = found.where(~F.col("check").isin(*complete))
         first = found.orderBy("model", "page_id", "rank").first()
         if first:
             raise ValueError(f"{first['message']} (model {first['model']}, page {first['page_id']})")
 
+    refuse(violations(rows))
+    refuse(table_violations(rows))
+    if "benchmark_provenance" in rows.columns:
+        benchmark = json.loads(rows.select("benchmark_provenance").first()[0] or "{}")
+        check_benchmark(benchmark)
+        if expected is not None:
+            check_expected(expected, benchmark)
+        refuse(benchmark_violations(rows, benchmark, expected))
+
 
 def check_join(outputs: DataFrame, truth: DataFrame) -> None:
     """What the strict join presupposes: unique known keys on both sides, no foreign page, texts that are strings."""
     for side, keys in ((truth, ["page_key"]), (outputs, ["model", "page_key"])):
         if not side.where(" or ".join(f"{k} is null" for k in keys)).isEmpty():
             raise ValueError("null " + " or ".join(keys))
-        twice = side.groupBy(*keys).count().where("count > 1").select(*keys).limit(3).collect()
+        twice = repeated(side, keys).select(*keys).limit(3).collect()
         if twice:
             raise ValueError(f"repeated {', '.join(keys)}: {[tuple(r) for r in twice]}")
     foreign = [r[0] for r in outputs.join(truth, "page_key", "left_anti").select("page_key").distinct().orderBy("page_key").limit(3).collect()]

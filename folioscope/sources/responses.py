@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,42 @@ def data_url(image: Column, mime: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(image))
 
 
+def jpeg(most: int = 1536, quality: int = 90) -> Callable[[bytes], bytes]:
+    """An image as an RGB JPEG within ``most`` pixels a side; needs an imaging package."""
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise RuntimeError("re-encoding images needs Pillow") from e
+    from io import BytesIO
+
+    def encode(data: bytes) -> bytes:
+        image = Image.open(BytesIO(data)).convert("RGB")
+        image.thumbnail((most, most))
+        out = BytesIO()
+        image.save(out, "JPEG", quality=quality)
+        return out.getvalue()
+
+    return encode
+
+
+def encoded_url(image: Column, encode: Callable[[bytes], bytes], mime: str = "image/jpeg") -> Column:
+    """The data URL of images that ``encode`` (see ``jpeg``) has made over."""
+    @F.pandas_udf("binary")
+    def run(cells: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else encode(bytes(c)) for c in cells], dtype=object)
+
+    return data_url(run(image), mime)
+
+
+def with_images(pages: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
+    """Metadata rows of a pinned source with the bytes of their images; a row without its image is refused."""
+    joined = pages.join(images.select(F.col("path").alias(path), F.col("content").alias("image")), path, "left")
+    absent = [r[0] for r in joined.where("image is null").select(path).orderBy(path).limit(3).collect()]
+    if absent:
+        raise ValueError(f"images are missing: {absent}")
+    return joined
+
+
 def cache_key(settings: dict) -> str:
     """Identity of a request: twelve hexadecimal digits."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:12]

@@ -7,9 +7,13 @@ import json
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +47,15 @@ def replace_file(path: str, data: str) -> None:
         raise
 
 
+def write_parquet(table: pa.Table, uri: str) -> None:
+    """One file, in any file system that Arrow reaches; it appears under its name once it is whole."""
+    store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    pq.write_table(table, part, filesystem=store)
+    store.move(part, path)
+
+
 _PART = re.compile(r"part-r(\d{2,})-(\d{5,})\.parquet")
 
 
@@ -136,3 +149,9 @@ def append_info(column: str, entry: dict):
     old = F.coalesce(F.from_json(F.col(column), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
     new = F.create_map(*(F.lit(str(x)) for kv in entry.items() for x in kv))
     return F.to_json(F.array_append(old, new))
+
+
+def dataset_card(name: str, fields: dict, counts: dict[str, int]) -> str:
+    """A Markdown card with JSON front matter values: what a dataset is and how many rows it has by status."""
+    head = ["---", *(f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in sorted(fields.items())), "---", "", f"# {name}", ""]
+    return "\n".join([*head, "| status | rows |", "|---|---|", *(f"| {k} | {n} |" for k, n in sorted(counts.items())), ""])
