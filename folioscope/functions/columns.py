@@ -150,7 +150,7 @@ def group_fingerprints(df: DataFrame, by: str, key: str = "page_key") -> DataFra
                 while to < len(names) and names[to] == names[at]:
                     to += 1
                 text = ",".join(json.dumps(x, ensure_ascii=False) for x in keys[at:to])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([part]), pa.array([k]), pa.array([text])], ["by", "part", "k", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([text])], ["by", "part", "k", "text"])
                 at, k = to, k + 1
 
     def digests(batches):

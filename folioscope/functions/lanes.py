@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -200,12 +200,15 @@ def normalize(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"diplomatic": [diplomatic(t) for t in batch], "reading": [reading(t) for t in batch]})
 
 
-def lane_udf(lane: str):
-    """One lane as a column function."""
-    function = LANES[lane]
-
+def text_udf(function: Callable[[str], str]):
+    """A function of one text as a column function."""
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([function(t) for t in texts], dtype=object)
+        return pd.Series([function(t or "") for t in texts], dtype=object)
 
     return run
+
+
+def lane_udf(lane: str):
+    """One lane as a column function."""
+    return text_udf(LANES[lane])

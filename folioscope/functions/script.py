@@ -46,3 +46,8 @@ def script_match(out: str | None, ref: str | None) -> float | None:
 @F.pandas_udf(T.StringType())
 def dominant_script_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([dominant_script(t) for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def script_match_udf(out: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([script_match(a, b) for a, b in zip(out, ref, strict=True)], dtype=float)

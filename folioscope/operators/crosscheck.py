@@ -20,7 +20,8 @@ def agreement(a: Column, b: Column, in_jvm: bool = True) -> Column:
     else:
         c = align.edit_counts_udf(a, b)
         cer = (c["s"] + c["d"] + c["i"]).cast("double") / (c["s"] + c["d"] + c["h"])
-    return columns.round4(F.when(cer.isNotNull(), 1.0 - F.least(columns.round4(cer), F.lit(1.0))))
+    # Of a rate with four decimals the rest to 1 has four too: counted in ten thousandths.
+    return (10000.0 - F.least(F.round(columns.round4(cer) * 10000.0), F.lit(10000.0))) / 10000.0
 
 
 def match(left: DataFrame, right: DataFrame, path: str = "xml_path", key: str = "gt_page_id") -> DataFrame:

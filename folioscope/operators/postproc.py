@@ -436,6 +436,15 @@ def expression(chain: tuple[Callable[[str], str], ...], text: Column) -> Column
     return text
 
 
+def column(step: Callable[[str], str]):
+    """One transform as a column function; a failure is an error of the query."""
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([step(t) for t in texts], dtype=object)
+
+    return run
+
+
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("applied", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import constants as C
+from folioscope.functions import columns
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +60,34 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("volume"), "text", label.alias("label"), ((F.col("doc_id") % 10) / 10.0).alias("conf"), F.col("doc_id").alias("row_ord"))
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorecard rows made of order lines: a model a return flag, counts from the lines' numbers, valid in themselves."""
+    rows = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    q, p, k, o = (F.col(c).cast("long") for c in ("l_quantity", "l_suppkey", "l_orderkey", "l_linenumber"))
+    rows = rows.select(
+        F.col("l_returnflag").alias("model"),
+        F.concat_ws("-", k.cast("string"), o.cast("string")).alias("page_id"),
+        F.concat(F.lit("v"), (p % 4).cast("string")).alias("volume"),
+        F.when(k % 3 == 0, "en").when(k % 3 == 1, "de").alias("language"),
+        F.when(o % 2 == 0, "latin").otherwise("greek").alias("gt_script"),
+        (k % 50 == 7).alias("error"),
+        (k % 100 == 7).alias("truncated"),
+        F.when(o == 1, "content").otherwise("sparse_blank").alias("sample_stratum"),
+        F.lit(C.STRATUM_THRESHOLD).alias("sample_stratum_threshold"),
+        *(x.cast("long").alias(f"{key}_{name}") for key in C.COUNT_KEYS for name, x in (("s", q % 7), ("d", p % 5), ("i", k % 3), ("h", (k + o) % 90))),
+        q.alias("recall_reference"), F.least(q, k % 60).alias("recall_matched"),
+        (q * 2).alias("over_extraction_output"), (k % 3).alias("over_extraction_extra"),
+        (q % 4).alias("furniture_global_token_recall_reference"), (q % 2).alias("furniture_global_token_recall_matched"),
+        ((k % 10) / 10.0).alias("script_match"),
+        F.to_json(F.create_map(F.lit("body"), F.struct(columns.rate(k % 2, F.lit(4)).alias("rate"), (k % 2).alias("matched"), F.lit(4).cast("long").alias("reference")))).alias("region_global_token_recall"),
+    )
+    of = lambda pair: columns.rate(*(F.col(c) for c in C.SUPPORT_PAIRS[pair]))
+    edits = lambda key: columns.rate(sum((F.col(f"{key}_{x}") for x in "di"), F.col(f"{key}_s")), sum((F.col(f"{key}_{x}") for x in "dh"), F.col(f"{key}_s")))
+    rows = rows.withColumns({"recall": of(0), "over_extraction": F.coalesce(of(1), F.lit(0.0)), "furniture_global_token_recall": of(2), "cer_diplomatic": edits("cer_body_dip"), "cer_reading": edits("cer_body_read")})
+    fixed = {"norm_version": C.NORM_VERSION, "scorer_version": C.SCORER_VERSION, "scorecard_schema_version": C.SCORECARD_SCHEMA_VERSION, "postproc_version": C.NO_POSTPROC, "score_provenance": columns.stable_json(dict.fromkeys(C.SCORE_FIELDS, "x")), "run_provenance": '{"run":1}'}
+    return rows.withColumns({name: F.lit(v) for name, v in fixed.items()})
+
+
 GT_SQL = """gt AS (SELECT CAST(doc_id AS VARCHAR) AS page_key, doc_id, source AS volume, lang AS language, text,
   CASE WHEN strpos(text, chr(10)) = 0 THEN '' ELSE substr(text, strpos(text, chr(10)) + 1) END AS body_text, split_part(text, chr(10), 1) AS furniture_text FROM documents)"""
 OUT_SQL = """o AS (SELECT * FROM (
@@ -88,3 +119,11 @@ def round4_sql(x: str) -> str:
 
 def rate_sql(a: str, b: str) -> str:
     return f"CASE WHEN {b} <> 0 THEN {round4_sql(f'(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE))')} END"
+
+
+#: The same scorecards; ``c`` has one group of counts, as all groups are equal.
+CARDS_SQL = f"""l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_returnflag AS model, CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS BIGINT) AS o, CAST(l_quantity AS BIGINT) AS q, CAST(l_suppkey AS BIGINT) AS p FROM lineitem),
+n AS (SELECT model, k, o, k || '-' || o AS page_id, 'v' || (p % 4) AS volume, CASE k % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS language, CASE WHEN o % 2 = 0 THEN 'latin' ELSE 'greek' END AS gt_script,
+  k % 50 = 7 AS error, k % 100 = 7 AS truncated, CASE WHEN o = 1 THEN 'content' ELSE 'sparse_blank' END AS sample_stratum, q % 7 AS s, p % 5 AS d, k % 3 AS i, (k + o) % 90 AS h,
+  q AS rr, least(q, k % 60) AS rm, q * 2 AS oo, k % 3 AS oe, q % 4 AS fr, q % 2 AS fm, (k % 10) / 10.0::DOUBLE AS script_match, k % 2 AS bm FROM l),
+c AS (SELECT *, {rate_sql('rm', 'rr')} AS recall, coalesce({rate_sql('oe', 'oo')}, 0.0) AS over_extraction, {rate_sql('(s + d + i)', '(s + d + h)')} AS cer FROM n)"""

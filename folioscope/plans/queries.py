@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import columns, lanes, script
 from folioscope.operators import consolidate, crosscheck, language, multiset, pagetests, postproc, report, sampling, score, validate
 from folioscope.plans import fixtures as X
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from folioscope.plans.registry import ORACLE_SQL, QUERIES, query
+from folioscope.sources.shared import written
 
 def _words(text) -> F.Column:
-    return columns.tokens(F.lower(text))
+    return columns.token_text(F.lower(text))
 
 
 def _supports(spark: SparkSession, sf_dir: str, part: str, by: list[str]) -> DataFrame:
     """Matched, reference and output tokens per (by) of every model's pages."""
-    gt, out = X.truth(spark, sf_dir), X.outputs(spark, sf_dir)
-    clean = F.when(columns.is_error(F.col("text")), "").otherwise(F.col("text"))
-    o = multiset.token_counts(out.select("model", "page_key", clean.alias("t")), ["model", "page_key"], _words(F.col("t")))
-    ref = multiset.token_counts(gt, ["page_key"], _words(F.col(part)))
-    # Each model meets the pages it has: the reference side is as large as the outputs.
-    ref = out.select("model", "page_key").join(ref, "page_key")
-    pages = multiset.overlap(ref, o, ["model", "page_key"])
+    out = X.outputs(spark, sf_dir).withColumn("text", F.when(columns.is_error(F.col("text")), "").otherwise(F.col("text")))
+    both = out.join(X.truth(spark, sf_dir).select("page_key", F.col(part).alias("ref")), "page_key")
+    pages = multiset.supports(both, ["model", "page_key"], _words(F.col("ref")), _words(F.col("text")))
     return pages if by == ["model", "page_key"] else pages.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("matched", "reference", "output")))
 
 
@@ -81,11 +63,13 @@ SELECT model, missing, producer_errors, missing = 0 AND producer_errors = 0 AS e
 def board_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness, errors, eligibility and places of the models by missed words."""
     missed = _supports(spark, sf_dir, "text", ["model"]).select("model", (1 - columns.rate(F.col("matched"), F.col("reference"))).alias("cer_reading_micro"))
-    out = X.outputs(spark, sf_dir)
-    absent = report.missing_pages(out.withColumnRenamed("page_key", "page_id"), X.truth(spark, sf_dir)).select("model", "missing")
+    out, truth = X.outputs(spark, sf_dir).withColumnRenamed("page_key", "page_id"), X.truth(spark, sf_dir)
+    absent = report.missing_pages(out, truth).select("model", "missing")
+    extra = report.extra_pages(out, truth)
     errors = out.groupBy("model").agg(F.count_if(columns.is_error(F.col("text")) & ~columns.is_truncated(F.col("text"))).alias("producer_errors"))
-    cards = missed.join(errors, "model").join(absent, "model", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
-    cards = cards.withColumn("eligible", (F.col("missing") == 0) & (F.col("producer_errors") == 0))
+    cards = missed.join(errors, "model").join(absent, "model", "left").join(extra, "model", "left").fillna(0, ["missing", "extra"])
+    cards = cards.withColumns({"cer_diplomatic_micro": F.col("cer_reading_micro"), "benchmark_page_set_match": (F.col("missing") == 0) & (F.col("extra") == 0)})
+    cards = cards.withColumn("eligible", report.eligible())
     return report.board_order(cards).select("model", "missing", "producer_errors", "eligible", F.col("place").cast("long").alias("place"))
 
 
@@ -98,11 +82,19 @@ SELECT label, CAST(sum(least(r.n, coalesce(w.n, 0))) AS BIGINT) AS matched, CAST
 
 @query(_REGION_SQL)
 def region_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each region label found anywhere in a model's page."""
-    gt = X.truth(spark, sf_dir).select("page_key", F.explode(F.from_json("regions", "array<struct<label: string, text: string>>")).alias("r")).select("page_key", "r.label", "r.text")
-    out = multiset.token_counts(X.outputs(spark, sf_dir).where("model = 'm_drop'"), ["page_key"], _words(F.col("text")), "o")
-    ref = multiset.token_counts(gt, ["page_key", "label"], _words(F.col("text")))
-    return ref.join(out, ["page_key", "token"], "left").groupBy("label").agg(F.sum(F.least("n", F.coalesce("o", F.lit(0)))).alias("matched"), F.sum("n").alias("reference"))
+    """Words of each region label found anywhere in a model's page, pooled from the pages' JSON objects."""
+    regions = X.truth(spark, sf_dir).select("page_key", F.explode(F.from_json("regions", "array<struct<label: string, text: string>>")).alias("r")).select("page_key", "r.label", F.col("r.text").alias("ref"))
+    out = X.outputs(spark, sf_dir).where("model = 'm_drop'").select("model", "page_key", "text")
+    found = multiset.supports(out.join(regions, "page_key"), ["model", "page_key", "label"], _words(F.col("ref")), _words(F.col("text"))).where("reference > 0")
+    value = F.struct(columns.rate(F.col("matched"), F.col("reference")).alias("rate"), "matched", "reference")
+    pages = found.groupBy("model", "page_key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", value)))).alias("region_global_token_recall"))
+    return report.region_recall(pages, ["model"]).select("label", "matched", "reference")
+
+
+@query(f"SELECT source AS volume, t AS token, count(*) AS n FROM (SELECT source, unnest({X.words_sql('text')}) AS t FROM documents) GROUP BY ALL")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each token occurs in each volume."""
+    return multiset.token_counts(X.truth(spark, sf_dir), ["volume"], columns.tokens(F.lower("text")))
 
 
 @query("SELECT source AS volume, CASE WHEN length(text) >= 80 THEN 'content' ELSE 'sparse_blank' END AS sample_stratum, count(*) AS n FROM documents GROUP BY ALL")
@@ -112,7 +104,7 @@ def stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS volume, sha256(CAST(to_json(list_sort(list(CAST(doc_id AS VARCHAR)))) AS VARCHAR)) AS fingerprint FROM documents GROUP BY source")
 def volume_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.truth(spark, sf_dir).groupBy("volume").agg(columns.fingerprint_column(F.col("page_key")).alias("fingerprint"))
+    return columns.group_fingerprints(X.truth(spark, sf_dir), "volume")
 
 
 @query(f"WITH {X.GT_SQL}, {X.OUT_SQL} SELECT m.model, count(*) AS missing, list_sort(list(gt.page_key))[1:3] AS examples FROM (SELECT DISTINCT model FROM o) m, gt WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.model = m.model AND o.page_key = gt.page_key) GROUP BY m.model")
@@ -182,7 +174,7 @@ def shard_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.025), 6) AS lo, round(median(value), 6) AS mid, round(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY event_type")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.025)), 6).alias("lo"), F.round(F.median("value"), 6).alias("mid"), F.round(F.percentile("value", F.lit(0.975)), 6).alias("hi"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(report.percentile(F.col("value"), 0.025), 6).alias("lo"), F.round(report.percentile(F.col("value"), 0.5), 6).alias("mid"), F.round(report.percentile(F.col("value"), 0.975), 6).alias("hi"))
 
 
 _MARKED = "'  <p>' || text || chr(10) || chr(10) || '<img src=\"images/bbox_1_2.png\">' || chr(10) || chr(10) || '>>UNUSED_12<< ![x](y.png) end' || chr(10)"
@@ -221,7 +213,7 @@ def rounded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id HAVING count(*) > 1")
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).where("turns > 1")
+    return validate.repeated(X.table(spark, sf_dir, "conversations"), ["conv_id"]).withColumnRenamed("n", "turns")
 
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
@@ -244,12 +236,8 @@ def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tempfile import mkdtemp
-
-    # Cards read scorecards several times; a checkpoint keeps the alignment from running again.
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="folioscope-"))
-    rows = _scored(spark, sf_dir).checkpoint()
+    # Cards read scorecards several times; written, the alignment runs once.
+    rows = written(_scored(spark, sf_dir), "scorecards")
     return report.board_order(report.model_cards(rows, X.truth(spark, sf_dir))).select("model", "n", "errors", "truncated", "missing", "eligible", "place", "cer_diplomatic_micro", "cer_reading_micro", "recall_micro", "over_extraction_micro", "cer_ci.lo", "cer_ci.hi")
 
 
@@ -275,7 +263,7 @@ def postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorecards with planted faults and what is found in them."""
-    rows = _scored(spark, sf_dir).withColumn("recall", F.when(F.col("page_id") == "5", 2.0).otherwise(F.col("recall"))).withColumn("sample_stratum", F.when(F.col("page_id") == "7", "odd").otherwise(F.col("sample_stratum")))
+    rows = written(_scored(spark, sf_dir), "scorecards").withColumn("recall", F.when(F.col("page_id") == "5", 2.0).otherwise(F.col("recall"))).withColumn("sample_stratum", F.when(F.col("page_id") == "7", "odd").otherwise(F.col("sample_stratum")))
     return validate.violations(rows)
 
 
@@ -288,3 +276,7 @@ def volume_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetests.with_ids(pagetests.generate(X.truth(spark, sf_dir))).select("test_id", "page_key", "test_type", "basis", "target_norm", "before_norm", "after_norm")
+
+
+# Registered by being imported.
+from folioscope.plans import report_queries, source_queries, transform_queries  # noqa: E402, F401
