@@ -59,7 +59,8 @@ def image_bytes(cell: Column, kind: str) -> Column:
 
 
 def data_url(image: Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(image))
+    # Some versions break lines after 76 characters, which a URL must not have.
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(image), "\r\n", ""))
 
 
 def jpeg(most: int = 1536, quality: int = 90) -> Callable[[bytes], bytes]:
