@@ -27,6 +27,13 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"))
 
 
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that op1 removes: each repeat of 400 bytes or more with all its places."""
+    from folioscope.llm import suffix_repeats
+
+    return suffix_repeats.repeat_groups(_table(spark, sf_dir, "documents"), min_len=400)
+
+
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import line_chunks
 
@@ -91,6 +98,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
+    "repeat_groups": repeat_groups,
     "op2_line_chunks": op2_line_chunks,
     "op3_fingerprints": op3_fingerprints,
     "op4_licenses": op4_licenses,

@@ -17,7 +17,10 @@ An anchor with more than ``MANY_REGIONS`` distinct regions is split by the strin
 to the anchor, in steps of ``STEP``, and by the hash of what all strings of a step share:
 equal strings stay together, and no task gets all regions of a hot anchor.
 
-Repeats longer than a region appear as one maximal repeat in each region they cross.
+Repeats longer than a region are cut by it; ``repeat_groups`` puts fragments together whose
+occurrences all follow each other, so a long repeat is one group with all its occurrences.
+A part of it that occurs more often is a group of its own, as in any suffix tree, but is
+listed region by region where its occurrences change within it.
 
 Defined results: null and empty texts have no strings; texts shorter than ``min_len``
 lose nothing; repeated rows are occurrences of each other; columns other than the id
@@ -344,7 +347,31 @@ def repeat_groups(docs: DataFrame, min_len: int = 400, doc_id: str = "doc_id", t
     within = found.where("mixed").join(groups, ["h", "c"]).select("group_id", "length", "t", (F.col("start") + F.col("place")).alias("start"))
     whole = found.where("not mixed").select(F.col("c").alias("group_id"), F.col("size").alias("length"), "t", "start")
     same = copies.select(F.col("t").alias("group_id"), F.col("e").alias("length"), "t", F.lit(0).cast("long").alias("start"))
-    return within.unionByName(whole).unionByName(same).distinct().join(base.select("doc_id", "t"), "t").select("group_id", "length", "doc_id", "start")
+    parts = materialize(within.unionByName(whole).distinct(), "fragments")
+    made = _joined_fragments(parts, min_len).unionByName(same).distinct()
+    # Groups are of text classes; a copy has what its class has.
+    return made.join(base.select("doc_id", "t"), "t").select("group_id", "length", "doc_id", "start")
+
+
+def _joined_fragments(parts: DataFrame, min_len: int) -> DataFrame:
+    """(group_id, length, t, start): fragments that regions or splits cut out of one repeat, put together again.
+
+    A fragment is continued by one whose first string follows its last, where all
+    occurrences of both do so; such fragments form chains, and a chain is one repeat.
+    """
+    parts = parts.withColumn("g", F.xxhash64("group_id", "length"))
+    groups = materialize(parts.groupBy("g").agg(F.first("length").alias("length"), F.count("*").alias("n"), F.min(F.struct("t", "start")).alias("least")), "fragment-groups")
+    ends = parts.select("t", (F.col("start") + F.col("length") - (min_len - 1)).alias("start"), F.col("g").alias("u"))
+    pairs = ends.join(parts.select("t", "start", F.col("g").alias("v")), ["t", "start"]).groupBy("u", "v").agg(F.count("*").alias("c"))
+    size = lambda x, n: groups.select(F.col("g").alias(x), F.col("n").alias(n))
+    links = pairs.join(size("u", "m"), "u").join(size("v", "n"), "v").where("c = m and c = n and u <> v")
+    chains = _tables.connected_components(links)
+    groups = groups.join(chains, groups["g"] == chains["node"], "left").select("g", F.coalesce("component", "g").alias("chain"), "length", "least")
+    # Occurrences of a chain's fragments are shifted alike, so the least ones belong together.
+    whole = groups.groupBy("chain").agg(F.min("least").alias("first"), F.max(F.col("least.start") + F.col("length")).alias("end"))
+    heads = groups.join(materialize(whole, "chains"), "chain").where("least = first").groupBy("chain").agg(F.min("g").alias("g"), (F.first("end") - F.first("first.start")).alias("whole"))
+    found = parts.join(materialize(heads, "chain-heads"), "g")
+    return found.select(F.col("chain").alias("group_id"), F.col("whole").alias("length"), "t", "start")
 
 
 def remove_repeats(docs: DataFrame, min_len: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def test_run_and_empty(spark, folder, none, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
     assert F is not None
 
 

@@ -85,3 +85,25 @@ def suffixes_text(texts, starts, p):
 def test_hashes_of_two_letters(alike):
     check(alike, 400)
     check(alike.where("doc_id < 3"), 700)
+
+
+@pytest.mark.parametrize("many", [2000, 0])
+def test_long_repeats_are_one_group(spark, many, monkeypatch):
+    """Repeats of many regions, one of them with a part that occurs once more; also when all anchors are split."""
+    monkeypatch.setattr(S, "MANY_REGIONS", many)
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    a, b, c = text(2500), text(1500), text(900)
+    rows = [(1, text(300) + a + text(200)), (2, text(50) + a + text(80) + b), (3, b + text(700) + c[:400] + text(9)), (4, text(500) + c), (5, c + text(33)), (6, text(1000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in S.repeat_groups(df, 60).collect():
+        groups.setdefault((r["group_id"], r["length"]), []).append((r["doc_id"], r["start"]))
+    texts = dict(rows)
+    found = {texts[places[0][0]][places[0][1] :][:n]: sorted(places) for (_, n), places in groups.items()}
+    assert all(texts[i][s:].startswith(t) for t, places in found.items() for i, s in places)
+    assert found[a] == [(1, 300), (2, 50)] and found[b] == [(2, 2630), (3, 0)]
+    assert sum(t in a for t in found) == 1 and sum(t in b for t in found) == 1
+    assert max((len(t), places) for t, places in found.items() if t in c and len(places) == 3) == (400, [(3, 2200), (4, 500), (5, 0)])
+    # What occurs in two places only begins where the third one's part ends, less one string.
+    assert any(t in c and t.endswith(c[-1:]) and places == [(4, 500 + c.index(t)), (5, c.index(t))] for t, places in found.items())
