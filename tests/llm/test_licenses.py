@@ -72,3 +72,22 @@ def test_odd_tables_and_native(model, none, clashing):
     assert out.count() == clashing.count()
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("width", [72, 50])
+def test_recall_of_wrapped_notices(spark, width):
+    """Every template with other years and holders, wrapped as headers are, between other lines; clean texts have none."""
+    rows, want = [], {}
+    for family, texts in L.TEMPLATES.items():
+        for text in texts:
+            notice = text.replace("2020 The Authors", "2011-2019 Example Corp")
+            lines = ["The river runs to the sea.", *textwrap.wrap(notice, width), "", "Many words of another kind follow here."]
+            want[len(rows)] = family
+            rows.append((len(rows), "\n".join(lines)))
+    clean = ["The permission of the owner was granted for the use of the field.", "All rights of way are kept.\nThe source of the river is free to any person."]
+    rows += [(1000 + i, t) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in L.scan(df, L.train(df)).collect()}
+    found = sum(f in got[i] for i, f in want.items())
+    assert found >= 0.9 * len(want), [(i, f, got[i]) for i, f in want.items() if f not in got[i]]
+    assert not any(got[1000 + i] for i in range(len(clean)))
