@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from folioscope import constants as C
 from folioscope.functions import align, columns, lanes, script
 from folioscope.operators import multiset, validate
+from folioscope.sources.shared import spread
 
 
 @dataclass(frozen=True)
@@ -122,12 +123,13 @@ def _count_pages(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFr
 def join_outputs(outputs: DataFrame, truth: DataFrame, text: str = "text") -> DataFrame:
     """Strict N:1 join; see ``validate.check_join`` for what it presupposes.
 
-    Ground truth is broadcast only where Spark's own size statistics allow it.
+    Ground truth is broadcast only where Spark's own size statistics allow it.  Rows of a page
+    come one after the other, so that its reference is normalized once.
     """
     optional = {c: (F.col(c) if c in truth.columns else F.lit(None).cast("string")) for c in ("body_text", "furniture_text", "regions")}
     gt = truth.select("page_key", "volume", "language", F.col("text").alias("gt_text"), *(v.alias(c) for c, v in optional.items()))
     out = outputs.select("page_key", "model", F.col(text).alias("out_text"))
-    return out.join(gt, "page_key")
+    return spread(out, "page_key").join(spread(gt, "page_key"), "page_key").sortWithinPartitions("page_key")
 
 
 def score_pages(joined: DataFrame, threshold: int = C.STRATUM_THRESHOLD, postproc_version: str = C.NO_POSTPROC) -> DataFrame:

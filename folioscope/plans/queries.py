@@ -9,7 +9,7 @@ from folioscope.functions import columns, lanes, script
 from folioscope.operators import consolidate, crosscheck, language, multiset, pagetests, postproc, report, sampling, score, validate
 from folioscope.plans import fixtures as X
 from folioscope.plans.registry import ORACLE_SQL, QUERIES, query
-from folioscope.sources.shared import written
+from folioscope.sources.shared import spread, written
 
 def _words(text) -> F.Column:
     return columns.token_text(F.lower(text))
@@ -18,7 +18,7 @@ def _words(text) -> F.Column:
 def _supports(spark: SparkSession, sf_dir: str, part: str, by: list[str]) -> DataFrame:
     """Matched, reference and output tokens per (by) of every model's pages."""
     out = X.outputs(spark, sf_dir).withColumn("text", F.when(columns.is_error(F.col("text")), "").otherwise(F.col("text")))
-    both = out.join(X.truth(spark, sf_dir).select("page_key", F.col(part).alias("ref")), "page_key")
+    both = spread(out, "page_key").join(spread(X.truth(spark, sf_dir).select("page_key", F.col(part).alias("ref")), "page_key"), "page_key")
     pages = multiset.supports(both, ["model", "page_key"], _words(F.col("ref")), _words(F.col("text")))
     return pages if by == ["model", "page_key"] else pages.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("matched", "reference", "output")))
 
@@ -85,7 +85,7 @@ def region_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each region label found anywhere in a model's page, pooled from the pages' JSON objects."""
     regions = X.truth(spark, sf_dir).select("page_key", F.explode(F.from_json("regions", "array<struct<label: string, text: string>>")).alias("r")).select("page_key", "r.label", F.col("r.text").alias("ref"))
     out = X.outputs(spark, sf_dir).where("model = 'm_drop'").select("model", "page_key", "text")
-    found = multiset.supports(out.join(regions, "page_key"), ["model", "page_key", "label"], _words(F.col("ref")), _words(F.col("text"))).where("reference > 0")
+    found = multiset.supports(spread(out, "page_key").join(spread(regions, "page_key"), "page_key"), ["model", "page_key", "label"], _words(F.col("ref")), _words(F.col("text"))).where("reference > 0")
     value = F.struct(columns.rate(F.col("matched"), F.col("reference")).alias("rate"), "matched", "reference")
     pages = found.groupBy("model", "page_key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", value)))).alias("region_global_token_recall"))
     return report.region_recall(pages, ["model"]).select("label", "matched", "reference")

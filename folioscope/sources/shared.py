@@ -27,3 +27,12 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     path = fresh_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out for work whose cost is computation, not bytes: by size alone, adaptive execution
+    would merge such partitions into fewer tasks than there are cores.  A join on ``keys`` that
+    follows shuffles this side no more."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
