@@ -16,12 +16,13 @@ def stem(path: Column, extension: str = ".xml") -> Column:
 def agreement(a: Column, b: Column, in_jvm: bool = True) -> Column:
     """1 - CER, at least 0, four decimals; the distance comes from the JVM where nothing is illegible."""
     if in_jvm:
-        cer = F.levenshtein(a, b).cast("double") / F.length(a)
+        cer = F.try_divide(F.levenshtein(a, b).cast("double"), F.length(a))
     else:
         c = align.edit_counts_udf(a, b)
-        cer = (c["s"] + c["d"] + c["i"]).cast("double") / (c["s"] + c["d"] + c["h"])
+        cer = F.try_divide((c["s"] + c["d"] + c["i"]).cast("double"), c["s"] + c["d"] + c["h"])
     # Of a rate with four decimals the rest to 1 has four too: counted in ten thousandths.
-    return (10000.0 - F.least(F.round(columns.round4(cer) * 10000.0), F.lit(10000.0))) / 10000.0
+    parts = F.round(columns.round4(cer) * 10000.0)
+    return (10000.0 - F.when(parts > 10000.0, 10000.0).otherwise(parts)) / 10000.0
 
 
 def match(left: DataFrame, right: DataFrame, path: str = "xml_path", key: str = "gt_page_id") -> DataFrame:
