@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import suffix_repeats as S
@@ -107,3 +110,50 @@ def test_long_repeats_are_one_group(spark, many, monkeypatch):
     assert max((len(t), places) for t, places in found.items() if t in c and len(places) == 3) == (400, [(3, 2200), (4, 500), (5, 0)])
     # What occurs in two places only begins where the third one's part ends, less one string.
     assert any(t in c and t.endswith(c[-1:]) and places == [(4, 500 + c.index(t)), (5, c.index(t))] for t, places in found.items())
+
+
+def peak_of(call):
+    call()  # tables that are kept
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task():
+    """What a Python worker holds: by byte of an array, by pass over texts, and by copy of a hot anchor's pieces."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 800).astype(np.uint8).tobytes() for _ in range(500)]
+    texts += [t[:500] + t[:300] for t in texts]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(1001) * 800
+    assert peak_of(lambda: S.SuffixArray(data, offsets)) < 60 * len(data)
+    column = pa.array([t.decode() * 5 for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), column], ["t", "text"])
+    assert peak_of(lambda: [None for _ in S.region_batches(iter([batch]), 400)]) < 80 << 20
+
+
+def test_copies_of_a_piece_are_one_string():
+    rows = [(5, i, i, 16, False, b"x" * 416) for i in range(5000)] + [(5, 5000, 5000, 16, False, b"x" * 415 + b"y"), (6, 1, 2, 0, True, b"z" * 500)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], ["key", "h", "c", "off", "many", "data"]) for part in (rows[:3000], rows[2999:])]
+    (held,) = S._arrays(iter(batches))
+    assert held.data == [b"x" * 416, b"x" * 415 + b"y", b"z" * 500] and held.many.tolist() == [True, False, True]
+    assert [(held.data[s], h, c, o) for s, h, c, o in zip(held.of, held.h, held.c, held.off, strict=True)] == [(r[5], *r[1:4]) for r in rows]
+    places, at = held.places_of(np.array([2, 0, 2]))
+    assert places.tolist() == [5001, *range(5000), 5001] and at.tolist() == [0] + [1] * 5000 + [2]
+
+
+@pytest.mark.parametrize("many", [2000, 0])
+def test_a_passage_of_many_texts(spark, many, monkeypatch):
+    """Copies between texts that differ around it, also when its anchors are split and their equal pieces put together."""
+    monkeypatch.setattr(S, "MANY_REGIONS", many)
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passage = text(210)
+    rows = [(i, text(70) + passage[i % 3 :] + text(70)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(df)
+    whole = {(r["doc_id"], r["start"]) for r in S.repeat_groups(df, 60).collect() if dict(rows)[r["doc_id"]][r["start"] :][: r["length"]] == passage[2:]}
+    assert whole == {(i, 72 - i % 3) for i in range(40)}
