@@ -28,6 +28,7 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import _files
 from folioscope.llm._common import chunks, fresh_dir
-from folioscope.llm._pieces import PieceStore, split_spaces
+from folioscope.llm._pieces import RecentStore, split_spaces
 
 MAGIC = b"FTS1"
 BLOCK_IDS = 1 << 21
@@ -81,31 +82,40 @@ class ByteEncoder:
         for point in range(0x800, 0x110000, 0x800):
             if not 0xD800 <= point < 0xE000:
                 self.bytes |= dict(zip(chr(point).encode(), written(chr(point))[0][0], strict=True))
-        self.parts = PieceStore(self._tokenize, keep=400_000)
-        self.store = PieceStore(self._encode, keep=500_000)
+        self.space = self.bytes[ord(" ")]
+        self.store = RecentStore(self._cut, self._tokenize, keep=700_000)
 
     def _tokenize(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that the pattern does not cut further."""
-        tokenize, table = self.model.tokenize, self.bytes
-        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(table))] for p in parts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.int32, int(counts.sum())), counts
-
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat: list[str] = []
+        tokenize, table, space, id_of = self.model.tokenize, self.bytes, self.space, attrgetter("id")
+        # Printable characters of ASCII stand for themselves, but for the space.
+        written = (p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table) for p in parts)
+        ids: list[int] = []
         ends = []
+        for w in written:  # one list: many small ones keep the garbage collector busy
+            ids += map(id_of, tokenize(w))
+            ends.append(len(ids))
+        return np.array(ids, np.int32), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def _cut(self, pieces: list[str]) -> tuple[list[str], list[str], list[str], list[int]]:
+        """Pieces that the pattern does not cut, the others, their parts, and how many each has."""
+        single: list[str] = []
+        others: list[str] = []
+        parts: list[str] = []
+        sizes: list[int] = []
         for piece in pieces:
             if piece[1:].isalpha() and piece[0] == " ":
-                flat.append(piece)
-            elif piece[-1:] in ",.;:!?|)" and piece[1:-1].isalpha() and piece[0] == " ":
-                flat += (piece[:-1], piece[-1])
+                single.append(piece)
+                continue
+            if piece[-1:] in ",.;:!?|)" and piece[1:-1].isalpha() and piece[0] == " ":
+                parts += (piece[:-1], piece[-1])
+                sizes.append(2)
             else:
-                flat += self.cut(piece)
-            ends.append(len(flat))
-        ids, sizes = self.parts.gather(self.parts.slots(flat))
-        last = np.cumsum(sizes)
-        at = np.array(ends, np.int64)
-        return ids, np.diff(np.where(at > 0, last[np.maximum(at, 1) - 1] if len(last) else 0, 0), prepend=0)
+                found = self.cut(piece)
+                parts += found
+                sizes.append(len(found))
+            others.append(piece)
+        return single, others, parts, sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
