@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import align, columns
+from folioscope.sources.shared import spread
 
 
 def stem(path: Column, extension: str = ".xml") -> Column:
@@ -27,7 +28,7 @@ def agreement(a: Column, b: Column, in_jvm: bool = True) -> Column:
 
 def match(left: DataFrame, right: DataFrame, path: str = "xml_path", key: str = "gt_page_id") -> DataFrame:
     """Left rows with the right text of the same page, null where there is none."""
-    return left.withColumn(key, stem(F.col(path))).join(right.select(key, F.col("text").alias("other_text")), key, "left")
+    return spread(left.withColumn(key, stem(F.col(path))), key).join(spread(right.select(key, F.col("text").alias("other_text")), key), key, "left")
 
 
 def summary(scores: DataFrame, column: str = "agreement") -> DataFrame:

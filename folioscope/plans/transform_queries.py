@@ -9,6 +9,7 @@ from folioscope.functions import align, lanes, script
 from folioscope.operators import postproc
 from folioscope.plans import fixtures as X
 from folioscope.plans.registry import query
+from folioscope.sources.shared import spread
 
 #: Letters, digits and single spaces of a text: nothing that Markdown escapes.
 _BARE_SQL = "trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))"
@@ -169,4 +170,4 @@ _E = "len(regexp_extract_all(text, 'e'))"
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_E} ELSE 0 END AS s, CASE WHEN doc_id % 3 = 1 THEN {_E} ELSE 0 END AS d, CASE WHEN doc_id % 3 = 2 THEN {_E} ELSE 0 END AS i, length(text) - CASE WHEN doc_id % 3 < 2 THEN {_E} ELSE 0 END AS h FROM documents")
 def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("ø"))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("e"), F.lit(""))).otherwise(F.replace("text", F.lit("e"), F.lit("eø")))
-    return X.table(spark, sf_dir, "documents").withColumn("c", align.edit_counts_udf("text", out)).select("doc_id", "c.*")
+    return spread(X.table(spark, sf_dir, "documents")).withColumn("c", align.edit_counts_udf("text", out)).select("doc_id", "c.*")

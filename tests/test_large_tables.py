@@ -1,7 +1,11 @@
 """What shows on tables of several files, long texts and large batches only."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from folioscope.functions import align
 from folioscope.plans import fixtures as X
 
 
@@ -24,3 +28,46 @@ def test_cards_are_made_of_the_first_line_of_each_key(spark, tmp_path):
     assert len(found) == 100 and all(r["l_suppkey"] < 100 and r["l_suppkey"] == r["l_orderkey"] for r in found)
     cards = X.cards(spark, folder).select("page_id", "model", "recall_reference").collect()
     assert sorted(tuple(r) for r in cards) == sorted((f"{k}-{1 + k % 5}", "ANR"[k % 3], 1 + k * 7 % 50) for k in range(100))
+
+
+def _slow_counts(ref, out):
+    """The whole matrix; from the end a deletion first, then an insertion."""
+    cost = [[*range(len(out) + 1)]]
+    for i, a in enumerate(ref, 1):
+        cost.append([i])
+        for j, b in enumerate(out, 1):
+            cost[i].append(min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a != b)))
+    i, j, s, d, n = len(ref), len(out), 0, 0, 0
+    while i and j:
+        if cost[i][j] == cost[i - 1][j] + 1:
+            i, d = i - 1, d + 1
+        elif cost[i][j] == cost[i][j - 1] + 1:
+            j, n = j - 1, n + 1
+        else:
+            i, j = i - 1, j - 1
+            s += ref[i] != out[j]
+    return s, d + i, n + j, len(ref) - s - d - i
+
+
+def test_alignments_pass_equal_stretches_and_keep_their_counts():
+    rng = random.Random(3)
+    text = " ".join(rng.choice("the other word then weather a thesis".split()) for _ in range(60))
+    for ref, out in [(text, text.replace("the", "teh")), (text, "head line " + text.replace("the", "teh")), (text, text[:100] + text[140:].replace("o", "0")), (text + "ab", "ba" + text), (text, text.replace("e", "ø")), (text, text.replace("e", "")), (text, text.replace("e", "eø"))]:
+        assert align._align_near(ref, out, 120) in (None, align._align_far(ref, out))
+        a, b = ref, out
+        while a and b and a[0] == b[0]:
+            a, b = a[1:], b[1:]
+        same = len(ref) - len(a)
+        while a and b and a[-1] == b[-1]:
+            a, b = a[:-1], b[:-1]
+        s, d, n, h = _slow_counts(a, b)
+        assert align.edit_counts(ref, out) == (s, d, n, len(ref) - s - d) and h <= len(ref) - same
+
+
+def test_near_texts_take_time_by_their_edits():
+    ref = " ".join(f"word{i} lorem ipsum" for i in range(7000))
+    began = time.process_time()
+    assert align.edit_counts(ref, ref.replace("e", "ø"))[0] == ref.count("e")
+    assert align.edit_counts(ref, ref.replace("m", ""))[1] == ref.count("m")
+    assert align.edit_counts("x" + ref, ref + "y") == (0, 1, 1, len(ref))
+    assert time.process_time() - began < 3
