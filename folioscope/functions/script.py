@@ -6,10 +6,10 @@ import functools
 import unicodedata
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.functions import batches
+
 #: Fixed order: the first that occurs in the character's name.
 SCRIPTS = ("CYRILLIC", "LATIN", "GREEK", "ARABIC", "HAN", "HEBREW")
 
@@ -43,11 +43,11 @@ def script_match(out: str | None, ref: str | None) -> float | None:
     return round(counts[script] / counts.total(), 4) if script and counts else None
 
 
-@F.pandas_udf(T.StringType())
-def dominant_script_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([dominant_script(t) for t in texts], dtype=object)
+@batches.text_map(T.StringType())
+def dominant_script_udf(texts: list) -> list:
+    return [*map(dominant_script, texts)]
 
 
-@F.pandas_udf(T.DoubleType())
-def script_match_udf(out: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([script_match(a, b) for a, b in zip(out, ref, strict=True)], dtype=float)
+@batches.text_map(T.DoubleType())
+def script_match_udf(out: list, ref: list) -> list:
+    return [script_match(a, b) for a, b in zip(out, ref, strict=True)]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.constants import ILLEGIBLE
+from folioscope.functions.batches import pieces
 
 
 def token_counts(df: DataFrame, keys: list[str], tokens: Column | str, count: str = "n") -> DataFrame:
@@ -23,13 +24,14 @@ def supports(pages: DataFrame, keys: list[str], ref: Column, out: Column) -> Dat
     """(keys, matched, reference, output) of rows that hold both texts, as tokens with one space between.
 
     Tokens are counted where their row is: what is shuffled later is three numbers a row.
+    A batch is counted in pieces, as its tokens take several times its bytes.
     """
     kinds = dict(pages.dtypes)
     names = [*keys, "matched", "reference", "output"]
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "matched long", "reference long", "output long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(*whole.columns[len(keys) :])):
             found = [_token_codes(batch.column(len(keys) + side)) for side in (0, 1)]
             sizes = [np.bincount(row, minlength=batch.num_rows) for row, _ in found]
             # Equal tokens of both sides get equal codes.

@@ -9,17 +9,16 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope import constants as C
-from folioscope.functions import align, columns, lanes, script
+from folioscope.functions import align, batches, columns, lanes, script
 from folioscope.operators import multiset, validate
 from folioscope.sources.shared import spread
 
@@ -112,11 +111,9 @@ def page_counts(ref: str, body: str | None, furniture: str | None, regions: list
     return made
 
 
-@F.pandas_udf(_PAGE)
-def _count_pages(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [page_counts(ref or "", body, furniture, json.loads(regions) if regions else None, out or "") for ref, body, furniture, regions, out in zip(*batch, strict=True)]
-        yield pd.DataFrame(rows, columns=[f.name for f in _PAGE])
+@batches.text_map(_PAGE)
+def _count_pages(*texts: list) -> list:
+    return [page_counts(ref or "", body, furniture, json.loads(regions) if regions else None, out or "") for ref, body, furniture, regions, out in zip(*texts, strict=True)]
 
 
 #: Ground truth: page_key, volume, language, text, and optionally body_text, furniture_text, regions (JSON).

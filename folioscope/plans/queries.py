@@ -18,8 +18,9 @@ def _words(text) -> F.Column:
 def _supports(spark: SparkSession, sf_dir: str, part: str, by: list[str]) -> DataFrame:
     """Matched, reference and output tokens per (by) of every model's pages."""
     out = X.outputs(spark, sf_dir).withColumn("text", F.when(columns.is_error(F.col("text")), "").otherwise(F.col("text")))
-    both = spread(out, "page_key").join(spread(X.truth(spark, sf_dir).select("page_key", F.col(part).alias("ref")), "page_key"), "page_key")
-    pages = multiset.supports(both, ["model", "page_key"], _words(F.col("ref")), _words(F.col("text")))
+    # Words of a page are made once, not once for each model.
+    ref = spread(X.truth(spark, sf_dir).select("page_key", F.col(part).alias("ref")), "page_key").withColumn("ref", _words(F.col("ref")))
+    pages = multiset.supports(spread(out, "page_key").join(ref, "page_key"), ["model", "page_key"], F.col("ref"), _words(F.col("text")))
     return pages if by == ["model", "page_key"] else pages.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("matched", "reference", "output")))
 
 

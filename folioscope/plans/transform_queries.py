@@ -126,7 +126,7 @@ _MARKED_SQL = "'" + _MARKED.replace("'", "''").replace("\n", "' || chr(10) || '"
 @query(f"SELECT doc_id, sha256({diplomatic_sql(_MARKED_SQL)}) AS diplomatic, sha256({reading_sql(f'nfc_normalize({_MARKED_SQL})')}) AS reading, sha256({strip_markup_sql(_MARKED_SQL)}) AS stripped, sha256(array_to_string({X.words_sql(reading_sql(f'nfc_normalize({_MARKED_SQL})'))}, ' ')) AS words FROM documents")
 def marked_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both lanes, the markup step and the tokens of texts with all kinds of marks."""
-    t = X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_MARKED), "text").alias("t"))
+    t = spread(X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_MARKED), "text").alias("t")))
     n = t.withColumn("n", lanes.normalize("t"))
     return n.select("doc_id", F.sha2("n.diplomatic", 256).alias("diplomatic"), F.sha2("n.reading", 256).alias("reading"), F.sha2(lanes.text_udf(lanes.strip_markup)("t"), 256).alias("stripped"), F.sha2(lanes.text_udf(lambda x: " ".join(lanes.tokens(x)))("t"), 256).alias("words"))
 
@@ -148,7 +148,7 @@ def regrouped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, replace(replace(strip_accents(text), 'æ', 'ae'), 'œ', 'oe') || 'ae oe' AS folded FROM documents")
 def folded_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "documents").select("doc_id", lanes.text_udf(lanes.fold_diacritics)(F.concat("text", F.lit("æ œ"))).alias("folded"))
+    return spread(X.table(spark, sf_dir, "documents")).select("doc_id", lanes.text_udf(lanes.fold_diacritics)(F.concat("text", F.lit("æ œ"))).alias("folded"))
 
 
 _LATIN = "len(regexp_extract_all(text, '\\p{Latin}'))"
@@ -158,7 +158,7 @@ _LATIN = "len(regexp_extract_all(text, '\\p{Latin}'))"
 def dominant_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with forty Cyrillic letters, and with three letters of another script in the output."""
     ref = F.concat(F.col("text"), F.repeat(F.lit("ж"), 40), F.lit("1²"))
-    d = X.table(spark, sf_dir, "documents")
+    d = spread(X.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", script.dominant_script_udf(ref).alias("script"), script.script_match_udf(F.concat(ref, F.lit("カナあ")), ref).alias("match"))
 
 

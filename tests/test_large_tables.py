@@ -3,9 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.functions import align
+from folioscope.functions import align, batches
 from folioscope.plans import fixtures as X
 
 
@@ -71,3 +73,15 @@ def test_near_texts_take_time_by_their_edits():
     assert align.edit_counts(ref, ref.replace("m", ""))[1] == ref.count("m")
     assert align.edit_counts("x" + ref, ref + "y") == (0, 1, 1, len(ref))
     assert time.process_time() - began < 3
+
+
+def test_batches_are_taken_in_pieces_of_bounded_bytes(spark):
+    texts = pa.array(["x" * 700_000, None, "", "y" * 3_000_000, "ü" * 200_000, *["z" * 1000] * 5000])
+    found = [*batches.pieces(texts, pa.array([None] * 5005, pa.string()))]
+    assert [at for at, _ in found] == [0, *(sum(n for _, n in found[:k]) for k in range(1, len(found)))] and sum(n for _, n in found) == 5005
+    sizes = [sum(len((t or "").encode()) for t in texts.slice(at, n).to_pylist()) for at, n in found]
+    assert all(n <= batches.MOST_BYTES or rows == 1 for n, (_, rows) in zip(sizes, found, strict=True))
+    # How much a function gets at once does not grow with the batch.
+    most = batches.text_map(T.LongType())(lambda rows: [sum(map(len, rows))] * len(rows))
+    rows = spark.range(4000).coalesce(1).select(F.repeat(F.lit("a"), 2000).alias("t"))
+    assert rows.select(most("t").alias("n")).agg(F.max("n")).first()[0] <= batches.MOST_BYTES
