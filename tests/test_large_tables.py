@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import align, batches
+from folioscope.operators import pagetests
 from folioscope.plans import fixtures as X
 
 
@@ -85,3 +86,16 @@ def test_batches_are_taken_in_pieces_of_bounded_bytes(spark):
     most = batches.text_map(T.LongType())(lambda rows: [sum(map(len, rows))] * len(rows))
     rows = spark.range(4000).coalesce(1).select(F.repeat(F.lit("a"), 2000).alias("t"))
     assert rows.select(most("t").alias("n")).agg(F.max("n")).first()[0] <= batches.MOST_BYTES
+
+
+def test_snippets_whose_pieces_occur_once_need_no_alignment(monkeypatch):
+    rng = random.Random(4)
+    words = [rng.choice(["lorem", "ipsum", "dolor", "sit"]) + str(rng.randrange(9999)) for _ in range(300)]
+    page = " ".join(words)
+    cut = [" ".join(words[k : k + 7]) for k in range(0, 290, 5)]
+    wanted = [pagetests.distinct_starts(pagetests.places(s, page, pagetests.max_diffs(len(s), 0.04)), len(s)) for s in cut]
+    monkeypatch.setattr(align, "find_within", None)
+    monkeypatch.setattr(pagetests, "_similar", None)
+    for s, starts in zip(cut, wanted, strict=True):
+        assert [pagetests.only_place(s, page, pagetests.max_diffs(len(s), 0.04))] == starts
+        assert pagetests.findable(s, page, 0.96, starts[0])
