@@ -14,6 +14,8 @@ from folioscope import constants as C
 
 #: Python's white space and word characters as explicit classes (Java's own are ASCII).
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+#: The same characters, for trimming: a pattern would be tried at every character of a text.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NOT_TOKEN = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}\x{FFFD}]"
 _SPLITTER = 134_217_729.0  # 2^27 + 1
 
@@ -40,7 +42,7 @@ def rate(numerator: Column, denominator: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Unicode white space off both ends (``trim`` takes U+0020 only)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def page_key(value: Column) -> Column:

@@ -21,8 +21,8 @@ def _bare() -> Column:
 
 
 def _planted() -> dict[str, Column]:
-    """Raw output of each model."""
-    bare = _bare()
+    """Raw output of each model, of rows with ``bare`` texts."""
+    bare = F.col("bare")
     blocks = [(1, False, F.concat(F.lit("<p>"), bare, F.lit("</p>"))), (2, True, F.lit("gone")), (0, False, F.lit("17"))]
     return {
         "rednote-hilab/dots.ocr": F.concat(F.lit("\t \u00a0\n"), "text", F.lit("\u2003\n")),
@@ -71,7 +71,8 @@ _LEFT = {
 @query(" UNION ALL ".join(f"SELECT doc_id, '{m}' AS model, sha256(coalesce({sql}, '')) AS markdown, {sql} IS NULL AS failed FROM documents" for m, sql in _LEFT.items()))
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of chain, with the marks that it is there for."""
-    rows = X.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), raw.alias("raw")) for m, raw in _planted().items()))).alias("o")).select("doc_id", "o.model", "o.raw")
+    # Nine models have the bare text: it is made before the shuffle, so once and not for each.
+    rows = spread(X.table(spark, sf_dir, "documents").select("doc_id", "text", _bare().alias("bare"))).select("doc_id", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), raw.alias("raw")) for m, raw in _planted().items()))).alias("o")).select("doc_id", "o.model", "o.raw")
     got = postproc.normalize_frame(rows)
     failed = F.col("normalize_error").isNotNull()
     return got.select("doc_id", "model", F.sha2(F.when(failed, "").otherwise(F.col("markdown")), 256).alias("markdown"), failed.alias("failed"))
@@ -143,7 +144,7 @@ def regrouped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipes = F.concat(F.lit("| Name | No | Name | No |\n|---|---|---|:--|\n| "), a, F.lit(" | "), b, F.lit(" | "), c, F.lit(" | "), d, F.lit(" |"))
     plain = F.concat(F.lit("<table><tr><td>Name</td><td>No</td></tr><tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td></tr><tr><td>"), c, F.lit("</td><td>"), d, F.lit("</td></tr></table>"))
     read = lanes.lane_udf("reading")
-    return X.table(spark, sf_dir, "documents").select("doc_id", read(html).alias("html"), read(pipes).alias("pipes"), read(plain).alias("plain"))
+    return spread(X.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", read(html).alias("html"), read(pipes).alias("pipes"), read(plain).alias("plain"))
 
 
 @query("SELECT doc_id, replace(replace(strip_accents(text), 'æ', 'ae'), 'œ', 'oe') || 'ae oe' AS folded FROM documents")

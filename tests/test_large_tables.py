@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions import align, batches
+from folioscope.functions import align, batches, columns
 from folioscope.operators import pagetests
 from folioscope.plans import fixtures as X
+from folioscope.plans import transform_queries
 
 
 def _lines(spark, folder, files=4):
@@ -99,3 +100,19 @@ def test_snippets_whose_pieces_occur_once_need_no_alignment(monkeypatch):
     for s, starts in zip(cut, wanted, strict=True):
         assert [pagetests.only_place(s, page, pagetests.max_diffs(len(s), 0.04))] == starts
         assert pagetests.findable(s, page, 0.96, starts[0])
+
+
+def test_trimmed_characters_are_those_of_the_pattern(spark):
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(chr(c) + "a" + chr(c) + "b" + chr(c),) for c in codes], "t string")
+    assert rows.where(~columns.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{columns.SPACE}+|{columns.SPACE}+$", ""))).isEmpty()
+    # Long texts: a pattern would look at every character of them.
+    assert "regexp" not in rows.select(columns.strip(F.col("t")).alias("s"))._jdf.queryExecution().toString()
+
+
+def test_chains_make_the_bare_text_of_a_page_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"Page {i}: two words, three!") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = transform_queries.chains(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9]+") <= 2  # once for chains of expressions, once for those in Python
+    assert made.count() == 5 * 17
