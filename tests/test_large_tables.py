@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from folioscope.functions import align, batches, columns
 from folioscope.operators import pagetests
 from folioscope.plans import fixtures as X
-from folioscope.plans import transform_queries
+from folioscope.plans import report_queries, transform_queries
 
 
 def _lines(spark, folder, files=4):
@@ -116,3 +116,17 @@ def test_chains_make_the_bare_text_of_a_page_once(spark, tmp_path):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^A-Za-z0-9]+") <= 2  # once for chains of expressions, once for those in Python
     assert made.count() == 5 * 17
+
+
+def test_pooled_rates_pass_over_the_lines_once(spark, tmp_path):
+    folder = _lines(spark, tmp_path, 2)
+    plan = report_queries.pooled_rates(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+
+
+def test_cards_are_written_without_columns_that_nobody_reads(spark, tmp_path, monkeypatch):
+    folder, seen = _lines(spark, tmp_path, 2), []
+    keep = report_queries.written
+    monkeypatch.setattr(report_queries, "written", lambda df, kind: seen.append(df.columns) or keep(df, kind))
+    assert report_queries.bootstrap_intervals(spark, folder).count() == 3
+    assert len(seen) == 1 and not {"region_global_token_recall", "cer_diplomatic", "score_provenance"} & set(seen[0])
