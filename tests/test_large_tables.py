@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import align, batches, columns
-from folioscope.operators import pagetests
+from folioscope.operators import pagetests, score
 from folioscope.plans import fixtures as X
 from folioscope.plans import report_queries, transform_queries
 
@@ -130,3 +130,10 @@ def test_cards_are_written_without_columns_that_nobody_reads(spark, tmp_path, mo
     monkeypatch.setattr(report_queries, "written", lambda df, kind: seen.append(df.columns) or keep(df, kind))
     assert report_queries.bootstrap_intervals(spark, folder).count() == 3
     assert len(seen) == 1 and not {"region_global_token_recall", "cer_diplomatic", "score_provenance"} & set(seen[0])
+
+
+def test_pages_within_their_outputs_need_no_alignment(monkeypatch):
+    monkeypatch.setattr(align, "operations", None)
+    text = "Head line\n" + "some words of a page " * 40
+    found = score.page_counts(text, text.partition("\n")[2], "Head line", None, text + text[-20:] * 12)
+    assert [found[f"cer_body_dip_{x}"] for x in "sdi"] == [0, 0, 10 + 12 * 20] and found["cer_full_dip_i"] == 12 * 20
